@@ -1,9 +1,9 @@
 """Maximum-likelihood fits of the lifetime-value models, one Spark aggregate per step.
 
 The driver holds three or four parameters; likelihood, gradient and Hessian are sums of
-column expressions over the customers. Customers with equal histories are merged first:
-the BG/NBD likelihood sees only whole days and counts, so the merged table stays small
-however many customers there are.
+column expressions over the customers. For the BG/NBD model, customers with equal
+histories are merged first: it sees only whole days and counts, so the merged table
+stays small however many customers there are.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from itertools import combinations_with_replacement
 from typing import Callable, NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retenta.config import PENALIZER
@@ -27,16 +27,21 @@ class NotConverged(RuntimeError):
     pass
 
 
+Key = str | int | tuple[int, int]
+
+
 class Model(NamedTuple):
     """A log-likelihood split in a part per row and a part of the parameters only.
 
-    Both give value, gradient and upper Hessian; ``per_row`` as columns over the rows and
-    the parameter columns, ``constant`` as floats that count once per customer.
+    ``per_row`` gives columns over the rows and the parameter columns: steps of named
+    intermediate values, each built on the ones before, and the terms. ``constant``
+    gives floats that count once per customer. Terms are keyed 'value', i for the
+    gradient and (i, j) for the upper Hessian; a missing key is zero.
     """
 
     params: tuple[str, ...]
-    per_row: Callable[[], dict]
-    constant: Callable[..., dict]
+    per_row: Callable[[], tuple[list[dict[str, Column]], dict[Key, Column]]]
+    constant: Callable[..., dict[Key, float]]
 
 
 def _maximise(
@@ -54,18 +59,20 @@ def _maximise(
     literals, so that every step runs the code generated for the first one.
     """
     size = len(model.params)
-    terms = model.per_row()
+    steps, terms = model.per_row()
     slots = list(combinations_with_replacement(range(size), 2))
     names = ["value", *range(size), *slots]
     labels = {name: f"s{k}" for k, name in enumerate(names)}
-    per_row = ["n", *[terms[name].alias(labels[name]) for name in names if name in terms]]
-    sums = [F.sum(F.col("n") * F.col(labels[name])).alias(labels[name]) for name in names if name in terms]
+    sums = [F.sum(F.col("n") * term).alias(labels[name]) for name, term in terms.items()]
 
     def evaluate(theta: np.ndarray):
         params = np.exp(theta)
         listed = ", ".join(f"{float(value)!r}D" for value in params)
         one_row = rows.sparkSession.sql(f"SELECT * FROM VALUES ({listed}) AS t({', '.join(model.params)})")
-        found = rows.crossJoin(F.broadcast(one_row)).select(*per_row).agg(*sums).first().asDict()
+        frame = rows.crossJoin(F.broadcast(one_row))
+        for step in steps:
+            frame = frame.withColumns(step)
+        found = frame.agg(*sums).first().asDict()
         constant = model.constant(*map(float, params))
 
         def mean(name) -> float:
@@ -103,44 +110,53 @@ def _maximise(
     raise NotConverged(f"gradient still {np.max(np.abs(slope)):.2e} after {max_steps} steps")
 
 
-def _bgnbd_per_row() -> dict:
+def _bgnbd_per_row() -> tuple[list[dict[str, Column]], dict[Key, Column]]:
     r, alpha, a, b = (F.col(name) for name in BGNBDParams._fields)
     x, last, age = F.col("x"), F.col("last"), F.col("age")
-    repeat = F.when(x > 0, 1.0).otherwise(0.0)
-    before_last = b + F.greatest(x, F.lit(1.0)) - 1.0
-    purchases = r + x
-    log_age, log_last = ln(alpha + age), ln(alpha + last)
+    basics = {
+        "purchases": r + x,
+        "bx": b + x,
+        "abx": a + b + x,
+        "before_last": b + F.greatest(x, F.lit(1.0)) - 1.0,
+        "log_age": ln(alpha + age),
+        "log_last": ln(alpha + last),
+        "inv_age": 1.0 / (alpha + age),
+        "inv_last": 1.0 / (alpha + last),
+    }
+    purchases, bx, abx, before_last, log_age, log_last, inv_age, inv_last = map(F.col, basics)
     # Two ways to see no purchase since: still alive, or gone right after the last one.
-    log_alive = -purchases * log_age
-    log_gone = ln(a) - ln(before_last) - purchases * log_last
-    odds_gone = repeat * F.exp(F.least(log_gone - log_alive, F.lit(700.0)))
-    gone = odds_gone / (1.0 + odds_gone)
-    alive = 1.0 / (1.0 + odds_gone)
-    inv_age, inv_last = 1.0 / (alpha + age), 1.0 / (alpha + last)
+    log_odds_gone = ln(a) - ln(before_last) + purchases * (log_age - log_last)
+    specials = {
+        "odds_gone": F.when(x > 0, F.exp(F.least(log_odds_gone, F.lit(700.0)))).otherwise(0.0),
+        "psi_abx": digamma(abx),
+        "psi1_abx": trigamma(abx),
+    }
+    odds_gone, psi_abx, psi1_abx = map(F.col, specials)
+    chances = {"alive": 1.0 / (1.0 + odds_gone), "gone": odds_gone / (1.0 + odds_gone)}
+    alive, gone = map(F.col, chances)
     rate = alive * inv_age + gone * inv_last
-    all_x = a + b + x
-    terms = {
-        "value": lgamma(purchases) + lgamma(b + x) - lgamma(all_x) + log_alive + ln(1.0 + odds_gone),
+    terms: dict[Key, Column] = {
+        "value": lgamma(purchases) + lgamma(bx) - lgamma(abx) - purchases * log_age + ln(1.0 + odds_gone),
         0: digamma(purchases) - (alive * log_age + gone * log_last),
         1: -purchases * rate,
-        2: gone / a - digamma(all_x),
-        3: digamma(b + x) - digamma(all_x) - gone / before_last,
+        2: gone / a - psi_abx,
+        3: digamma(bx) - psi_abx - gone / before_last,
         (0, 0): trigamma(purchases),
         (0, 1): -rate,
         (1, 1): purchases * (alive * inv_age * inv_age + gone * inv_last * inv_last),
-        (2, 2): -trigamma(all_x) - gone / (a * a),
-        (2, 3): -trigamma(all_x),
-        (3, 3): trigamma(b + x) - trigamma(all_x) + gone / (before_last * before_last),
+        (2, 2): -psi1_abx - gone / (a * a),
+        (2, 3): -psi1_abx,
+        (3, 3): trigamma(bx) - psi1_abx + gone / (before_last * before_last),
     }
     # The log of a sum bends by the spread between the gradients of its two branches.
     spread = [log_age - log_last, purchases * (inv_age - inv_last), 1.0 / a, -1.0 / before_last]
     for i, j in combinations_with_replacement(range(4), 2):
         bend = alive * gone * spread[i] * spread[j]
         terms[i, j] = terms[i, j] + bend if (i, j) in terms else bend
-    return terms
+    return [basics, specials, chances], terms
 
 
-def _bgnbd_constant(r: float, alpha: float, a: float, b: float) -> dict:
+def _bgnbd_constant(r: float, alpha: float, a: float, b: float) -> dict[Key, float]:
     both = trigamma(a + b)
     return {
         "value": lgamma(a + b) - lgamma(r) - lgamma(b) + r * math.log(alpha),
@@ -190,27 +206,29 @@ def fit_bgnbd(features: DataFrame, penalizer: float = PENALIZER, staged: bool =
     return BGNBDParams(float(r), float(alpha * longest), float(a), float(b))
 
 
-def _gamma_gamma_per_row() -> dict:
+def _gamma_gamma_per_row() -> tuple[list[dict[str, Column]], dict[Key, Column]]:
     p, q, v = (F.col(name) for name in GammaGammaParams._fields)
     x, m = F.col("x"), F.col("m")
-    shape = p * x
-    spend = x * m + v
-    log_spend = ln(spend)
-    return {
-        "value": lgamma(shape + q) - lgamma(shape) + (shape - 1.0) * ln(m) + shape * ln(x) - (shape + q) * log_spend,
-        0: x * (digamma(shape + q) - digamma(shape) + ln(m) + ln(x) - log_spend),
-        1: digamma(shape + q) - log_spend,
-        2: -(shape + q) / spend,
-        (0, 0): x * x * (trigamma(shape + q) - trigamma(shape)),
-        (0, 1): x * trigamma(shape + q),
+    basics = {"shape": p * x, "shape_q": p * x + q, "spend": x * m + v}
+    shape, shape_q, spend = map(F.col, basics)
+    specials = {"log_spend": ln(spend), "psi_q": digamma(shape_q), "psi1_q": trigamma(shape_q)}
+    log_spend, psi_q, psi1_q = map(F.col, specials)
+    terms: dict[Key, Column] = {
+        "value": lgamma(shape_q) - lgamma(shape) + (shape - 1.0) * ln(m) + shape * ln(x) - shape_q * log_spend,
+        0: x * (psi_q - digamma(shape) + ln(m) + ln(x) - log_spend),
+        1: psi_q - log_spend,
+        2: -shape_q / spend,
+        (0, 0): x * x * (psi1_q - trigamma(shape)),
+        (0, 1): x * psi1_q,
         (0, 2): -x / spend,
-        (1, 1): trigamma(shape + q),
+        (1, 1): psi1_q,
         (1, 2): -1.0 / spend,
-        (2, 2): (shape + q) / (spend * spend),
+        (2, 2): shape_q / (spend * spend),
     }
+    return [basics, specials], terms
 
 
-def _gamma_gamma_constant(p: float, q: float, v: float) -> dict:
+def _gamma_gamma_constant(p: float, q: float, v: float) -> dict[Key, float]:
     return {
         "value": q * math.log(v) - lgamma(q),
         1: math.log(v) - digamma(q),
@@ -227,9 +245,11 @@ GAMMA_GAMMA = Model(GammaGammaParams._fields, _gamma_gamma_per_row, _gamma_gamma
 def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER, staged: bool = False) -> GammaGammaParams:
     """Fit (p, q, v) on persons with more than one purchase, on their total spend."""
     repeat = bgnbd_inputs(features.filter(F.col("frequency") > 1)).filter(F.col("monetary_value") > 0)
-    rows = repeat.groupBy(
-        F.col("repeat_purchases").cast("double").alias("x"), F.col("monetary_value").alias("m")
-    ).agg(F.count("*").cast("double").alias("n"))
+    rows = repeat.select(
+        F.col("repeat_purchases").cast("double").alias("x"),
+        F.col("monetary_value").alias("m"),
+        F.lit(1.0).alias("n"),
+    )
     rows = (rows if staged else stage(rows, "spend")).persist()
     try:
         weight = rows.agg(F.sum("n")).first()[0]
