@@ -1,4 +1,4 @@
-"""BG/NBD and Gamma-Gamma predictions as native column expressions.
+"""BG/NBD and Gamma-Gamma predictions as columns.
 
 Fader, Hardie and Lee (2005), "Counting your customers the easy way", and Fader and
 Hardie's note on the Gamma-Gamma model of spend. ``x`` is the number of repeat
@@ -7,9 +7,10 @@ purchases, ``t_x`` the age at the last purchase, ``T`` the age, in one time unit
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,40 +43,42 @@ def p_alive(x: Column, t_x: Column, T: Column, m: BGNBDParams) -> Column:
     return 1.0 / (1.0 + _dropout_odds(x, t_x, T, m))
 
 
-def _hyp2f1_euler(first: Column, second: float, c: Column, z: Column) -> Column:
-    """Series of 2F1(first, second; c; z) for 0 <= z < 1, summed to double precision.
+def _expectation(m: BGNBDParams, horizons: dict[float, float]):
+    """UDF of (x, T): the weighted sum of the expectations up to each horizon, before the
+    chance of being gone is taken off.
 
-    The number of terms follows from each row's own ``z``: terms shrink like ``z**k``
-    times a power of ``k``, so there is no common cut-off that a row could miss.
+    The expectation holds the series 2F1(A, B; C; z), A = r+x, B = b+x, C = a+b+x-1. By
+    Euler it is (1-z)^(C-A-B) 2F1(C-A, C-B; C; z), whose terms fall quickly, and the model's
+    own ((alpha+T)/(alpha+T+h))^(r+x) cancels that power down to a-1. Terms are added over
+    a whole Arrow batch until the slowest row no longer changes, so nothing is cut off. As
+    a native expression the loop is a lambda that runs interpreted, hundreds of times slower.
     """
-    growth = max(0.0, second - 1.0)
-    n_terms = F.when(
-        z > 0, F.ceil(F.lit(-math.log(1e-17)) / -F.log(z) * (1.0 + growth)) + F.lit(12)
-    ).otherwise(F.lit(1)).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def step(acc: Column, k: Column) -> Column:
-        term = acc["term"] * (first + k) * (second + k) / ((c + k) * (1.0 + k)) * z
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    ks = F.transform(F.sequence(F.lit(0), n_terms), lambda k: k.cast("double"))
-    return F.aggregate(ks, start, step, lambda acc: acc["total"])
+    if abs(m.a - 1.0) < 1e-9:
+        raise ValueError("the expectation is singular at a = 1")
+    first, second = m.a + m.b - 1.0 - m.r, m.a - 1.0
+    smallest = 1e-18 * min(1.0, abs(second))
+
+    @F.pandas_udf("double")
+    def expectation(x: pd.Series, age: pd.Series) -> pd.Series:
+        c = (m.a + m.b - 1.0 + x).to_numpy(dtype=float)
+        elapsed = (m.alpha + age).to_numpy(dtype=float)
+        out = np.zeros(len(c))
+        for horizon, weight in horizons.items():
+            z = horizon / (elapsed + horizon)
+            term, total, k = np.ones(len(c)), np.ones(len(c)), 0
+            while np.any(np.abs(term) > smallest * np.abs(total)):
+                term = term * ((first + k) * (second + k) / (k + 1.0)) / (c + k) * z
+                total = total + term
+                k += 1
+            out += weight * c / second * (1.0 - (1.0 - z) ** second * total)
+        return pd.Series(out)
+
+    return expectation
 
 
 def expected_purchases(x: Column, t_x: Column, T: Column, m: BGNBDParams, horizon: float) -> Column:
     """Purchases expected in the next ``horizon`` time units, given the history."""
-    return _expected_unscaled(x, T, m, horizon) / (1.0 + _dropout_odds(x, t_x, T, m))
-
-
-def _expected_unscaled(x: Column, T: Column, m: BGNBDParams, horizon: float) -> Column:
-    if abs(m.a - 1.0) < 1e-9:
-        raise ValueError("the expectation is singular at a = 1")
-    c = m.a + m.b + x - 1.0
-    z = F.lit(float(horizon)) / (m.alpha + T + horizon)
-    # Euler: 2F1(A,B;C;z) = (1-z)^(C-A-B) 2F1(C-A,C-B;C;z) with A = r+x, B = b+x;
-    # its power of (1-z) and the model's own ((alpha+T)/(alpha+T+h))^(r+x) cancel to a-1.
-    series = _hyp2f1_euler(F.lit(m.a + m.b - 1.0 - m.r), m.a - 1.0, c, z)
-    return c / (m.a - 1.0) * (1.0 - F.pow(1.0 - z, F.lit(m.a - 1.0)) * series)
+    return _expectation(m, {float(horizon): 1.0})(x, T) / (1.0 + _dropout_odds(x, t_x, T, m))
 
 
 def expected_profit(x: Column, monetary: Column, g: GammaGammaParams) -> Column:
@@ -104,9 +107,6 @@ def lifetime_value(
     each E(i) is needed once, with the difference of two neighbouring discounts.
     """
     discount = [(1.0 + discount_rate) ** -i for i in range(1, months + 1)] + [0.0]
-    purchases = None
-    for i in range(1, months + 1):
-        part = _expected_unscaled(x, T, m, WEEKS_PER_MONTH * i) * (discount[i - 1] - discount[i])
-        purchases = part if purchases is None else purchases + part
-    purchases = purchases / (1.0 + _dropout_odds(x, t_x, T, m))
+    weights = {WEEKS_PER_MONTH * i: discount[i - 1] - discount[i] for i in range(1, months + 1)}
+    purchases = _expectation(m, weights)(x, T) / (1.0 + _dropout_odds(x, t_x, T, m))
     return at_least_zero(expected_profit(x, monetary, g) * purchases)

@@ -20,7 +20,7 @@ from retenta.config import PENALIZER
 from retenta.functions.clv import BGNBDParams, GammaGammaParams
 from retenta.functions.special import digamma, lgamma, ln, trigamma
 from retenta.operators.features import bgnbd_inputs
-from retenta.session import stage
+from retenta.session import staged
 
 
 class NotConverged(RuntimeError):
@@ -186,23 +186,22 @@ def merged_histories(features: DataFrame) -> DataFrame:
     ).agg(F.count("*").cast("double").alias("n"))
 
 
-def fit_bgnbd(features: DataFrame, penalizer: float = PENALIZER, staged: bool = False) -> BGNBDParams:
-    """Fit (r, alpha, a, b) in weeks; ``staged=True`` means ``features`` are a written table.
+def fit_bgnbd(features: DataFrame, penalizer: float = PENALIZER) -> BGNBDParams:
+    """Fit (r, alpha, a, b) in weeks.
 
     Time is scaled to a longest age of one while fitting, which is where the penalty
     applies, and ``alpha`` is scaled back.
     """
-    histories = merged_histories(features)
-    histories = (histories if staged else stage(histories, "histories")).persist()
-    try:
+    with staged(merged_histories(features), "histories") as histories:
         size = histories.agg(F.sum("n").alias("n"), F.max("age").alias("longest")).first()
         if not size["n"]:
             raise ValueError("no customers to fit")
         longest = size["longest"] or 1.0
-        scaled = histories.withColumns({"last": F.col("last") / longest, "age": F.col("age") / longest})
-        r, alpha, a, b = _maximise(scaled, BGNBD, size["n"], penalizer)
-    finally:
-        histories.unpersist()
+        scaled = histories.withColumns({"last": F.col("last") / longest, "age": F.col("age") / longest}).persist()
+        try:
+            r, alpha, a, b = _maximise(scaled, BGNBD, size["n"], penalizer)
+        finally:
+            scaled.unpersist()
     return BGNBDParams(float(r), float(alpha * longest), float(a), float(b))
 
 
@@ -242,7 +241,7 @@ def _gamma_gamma_constant(p: float, q: float, v: float) -> dict[Key, float]:
 GAMMA_GAMMA = Model(GammaGammaParams._fields, _gamma_gamma_per_row, _gamma_gamma_constant)
 
 
-def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER, staged: bool = False) -> GammaGammaParams:
+def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER) -> GammaGammaParams:
     """Fit (p, q, v) on persons with more than one purchase, on their total spend."""
     repeat = bgnbd_inputs(features.filter(F.col("frequency") > 1)).filter(F.col("monetary_value") > 0)
     rows = repeat.select(
@@ -250,12 +249,13 @@ def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER, staged: b
         F.col("monetary_value").alias("m"),
         F.lit(1.0).alias("n"),
     )
-    rows = (rows if staged else stage(rows, "spend")).persist()
-    try:
-        weight = rows.agg(F.sum("n")).first()[0]
-        if not weight:
-            raise ValueError("no repeat customers to fit")
-        p, q, v = _maximise(rows, GAMMA_GAMMA, weight, penalizer)
-    finally:
-        rows.unpersist()
+    with staged(rows, "spend") as written:
+        cached = written.persist()
+        try:
+            weight = cached.agg(F.sum("n")).first()[0]
+            if not weight:
+                raise ValueError("no repeat customers to fit")
+            p, q, v = _maximise(cached, GAMMA_GAMMA, weight, penalizer)
+        finally:
+            cached.unpersist()
     return GammaGammaParams(float(p), float(q), float(v))

@@ -82,7 +82,7 @@ def snapshot_date(orders: DataFrame, customers: DataFrame, payments: DataFrame)
     return (
         delivered_orders(orders)
         .select("order_id", "customer_id", purchase_day().alias("purchase_date"))
-        .join(payments.select("order_id"), "order_id", "left_semi")
+        .join(payments.select("order_id").distinct(), "order_id", "left_semi")
         .groupBy("customer_id")
         .agg(F.max("purchase_date").alias("purchase_date"))
         .join(customers.select("customer_id"), "customer_id", "left_semi")
@@ -213,13 +213,17 @@ def active_after_cutoff(
     cutoff_date: str = CHURN_CUTOFF_DATE,
     churn_window_days: int = CHURN_WINDOW_DAYS,
 ) -> DataFrame:
-    """Persons with a delivered, paid order holding items in the outcome window."""
+    """Persons with a delivered, paid order holding items in the outcome window.
+
+    The ids to look up are made distinct first: a semi join cannot split a hot key on its
+    right side, and this way such a key is one row per task.
+    """
     cutoff, end = _window_end(cutoff_date, churn_window_days)
     return (
         delivered_orders(orders, before=end, since=cutoff)
         .select("order_id", "customer_id")
-        .join(payments.select("order_id"), "order_id", "left_semi")
-        .join(items.select("order_id"), "order_id", "left_semi")
+        .join(payments.select("order_id").distinct(), "order_id", "left_semi")
+        .join(items.select("order_id").distinct(), "order_id", "left_semi")
         .select("customer_id")
         .distinct()
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")

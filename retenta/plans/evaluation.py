@@ -11,7 +11,7 @@ from retenta.operators import churn_model, evaluate
 from retenta.operators.attribution import feature_attribution
 from retenta.operators.ranking import seeded_sample
 from retenta.plans.training import CHURN_MODEL, part, split_matrix
-from retenta.session import stage
+from retenta.session import staged
 from retenta.sources import artifacts
 
 
@@ -24,11 +24,13 @@ def run_evaluation(
     """
     path = f"{models_dir}/{CHURN_MODEL}"
     model = churn_model.load_churn_model(spark, path)
-    test = stage(part(split_matrix(stage(matrix, "matrix")), "test"), "test")
-    scored = stage(churn_model.score(model, test), "scored-test")
-    metrics = evaluate.churn_metrics(scored, "churn_proba", "prediction", "churned")
-    artifacts.save_metrics(spark, metrics, "churn_evaluation", runs_dir)
-    artifacts.write_roc_curve(evaluate.roc_curve(scored, "churn_proba", "churned"), f"{runs_dir}/roc_curve")
-    rows = test if max_samples is None else seeded_sample(test, "customer_unique_id", max_samples, RANDOM_SEED)
-    feature_attribution(model, path, rows).write.mode("overwrite").parquet(f"{runs_dir}/attribution")
+    rows = part(split_matrix(matrix), "test")
+    with staged(rows, "test") as test, staged(churn_model.score(model, test), "scored") as scored:
+        metrics = evaluate.churn_metrics(scored, "churn_proba", "prediction", "churned")
+        artifacts.save_metrics(spark, metrics, "churn_evaluation", runs_dir)
+        artifacts.write_roc_curve(evaluate.roc_curve(scored, "churn_proba", "churned"), f"{runs_dir}/roc_curve")
+        explained = test
+        if max_samples is not None:
+            explained = seeded_sample(test, "customer_unique_id", max_samples, RANDOM_SEED)
+        feature_attribution(model, path, explained).write.mode("overwrite").parquet(f"{runs_dir}/attribution")
     return metrics

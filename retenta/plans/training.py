@@ -11,7 +11,7 @@ from retenta.config import CHURN_CUTOFF_DATE, CHURN_WINDOW_DAYS, FEATURE_COLS, R
 from retenta.operators import churn_model, evaluate, features
 from retenta.operators.clv_fit import fit_bgnbd, fit_gamma_gamma
 from retenta.operators.ranking import stratified_split
-from retenta.session import stage
+from retenta.session import staged
 from retenta.sources import artifacts
 from retenta.sources.retail import RawTables
 
@@ -63,22 +63,23 @@ def train(
     """Fit and save all models; returns the validation and test ROC-AUC.
 
     The value models come first, as ``labels='alive'`` needs their parameters.
-    ``labels='window'`` takes the labels from the outcome window. Each stage that later
-    work reads more than once is written to the shared folder.
+    ``labels='window'`` takes the labels from the outcome window. What later
+    work reads more than once is written to the shared folder for the while.
     """
-    rfm = stage(features.rfm_features(tables.orders, tables.customers, tables.order_payments), "rfm")
-    bgnbd, gamma_gamma = fit_bgnbd(rfm, staged=True), fit_gamma_gamma(rfm, staged=True)
+    rfm_features = features.rfm_features(tables.orders, tables.customers, tables.order_payments)
+    with staged(rfm_features, "rfm") as rfm:
+        bgnbd, gamma_gamma = fit_bgnbd(rfm), fit_gamma_gamma(rfm)
     artifacts.save_clv_params(spark, bgnbd, gamma_gamma, models_dir)
     if labels == "alive":
-        matrix = feature_matrix(spark, tables, models_dir)
+        unsplit = feature_matrix(spark, tables, models_dir)
     else:
-        matrix = window_matrix(tables, cutoff_date, churn_window_days)
-    split = stage(split_matrix(stage(matrix, "matrix")), "split")
-    model = churn_model.train_churn_model(part(split, "train"), n_trees=n_trees)
-    churn_model.save_churn_model(model, f"{models_dir}/{CHURN_MODEL}")
+        unsplit = window_matrix(tables, cutoff_date, churn_window_days)
     scores = {}
-    for name in ("val", "test"):
-        scored = stage(churn_model.score(model, part(split, name)), f"scored-{name}")
-        scores[f"{name}_roc_auc"] = evaluate.roc_auc(scored, "churn_proba", "churned").first()["roc_auc"]
+    with staged(unsplit, "matrix") as matrix, staged(split_matrix(matrix), "split") as split:
+        model = churn_model.train_churn_model(part(split, "train"), n_trees=n_trees)
+        churn_model.save_churn_model(model, f"{models_dir}/{CHURN_MODEL}")
+        for name in ("val", "test"):
+            scored = churn_model.score(model, part(split, name))
+            scores[f"{name}_roc_auc"] = evaluate.roc_auc(scored, "churn_proba", "churned").first()["roc_auc"]
     artifacts.save_metrics(spark, {"test_roc_auc": scores["test_roc_auc"]}, "churn_gbt", runs_dir)
     return scores

@@ -6,44 +6,81 @@ delivery date of an order, which is the last shipment among its finished lines.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-@dataclass(frozen=True)
+# Schemas of the source tables.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+# End of fixed values.
+
+
+RAW_NAMES = (
+    "customers",
+    "orders",
+    "order_items",
+    "order_payments",
+    "order_reviews",
+    "products",
+    "sellers",
+    "geolocation",
+    "product_category_translation",
+)
+
+
 class RawTables:
-    customers: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    geolocation: DataFrame
-    product_category_translation: DataFrame
+    """The nine raw tables as attributes, each one built when it is first asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]) -> None:
+        self._builders = builders
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._builders:
+            raise AttributeError(name)
+        table = self._builders[name]()
+        setattr(self, name, table)
+        return table
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+        return {name: getattr(self, name) for name in self._builders}
+
+
+def catalog_tables(spark: SparkSession, database: str = "default") -> RawTables:
+    """The raw tables as loaded into the catalog by ``create_warehouse``."""
+    return RawTables({name: partial(spark.table, f"{database}.raw_{name}") for name in RAW_NAMES})
 
 
 def raw_tables(spark: SparkSession, sf_dir: str, delivery_dates: bool = True) -> RawTables:
     """``delivery_dates=False`` leaves the delivery date null and saves its join."""
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # With the schema given, no job has to open the files first.
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    lines = read("lineitem")
     return RawTables(
-        customers=_customers(read("customer")),
-        orders=_orders(read("orders"), lines, delivery_dates),
-        order_items=_order_items(lines),
-        order_payments=_order_payments(lines),
-        order_reviews=_order_reviews(lines),
-        products=_products(read("part")),
-        sellers=_sellers(read("supplier")),
-        geolocation=_geolocation(read("nation")),
-        product_category_translation=_translation(spark),
+        {
+            "customers": lambda: _customers(read("customer")),
+            "orders": lambda: _orders(read("orders"), read("lineitem"), delivery_dates),
+            "order_items": lambda: _order_items(read("lineitem")),
+            "order_payments": lambda: _order_payments(read("lineitem")),
+            "order_reviews": lambda: _order_reviews(read("lineitem")),
+            "products": lambda: _products(read("part")),
+            "sellers": lambda: _sellers(read("supplier")),
+            "geolocation": lambda: _geolocation(read("nation")),
+            "product_category_translation": lambda: _translation(spark),
+        }
     )
 
 
