@@ -20,20 +20,18 @@ from retenta.functions.scalars import (
     weeks,
 )
 from retenta.operators.orders import FANOUT_SUMS, delivered_orders, order_basket_rows, purchase_day
+from retenta.operators.sharing import computed_once
 
 
 def with_snapshot(per_person: DataFrame, last_date: str = "last_purchase_date") -> DataFrame:
     """Add the latest date of all rows as ``snapshot_date``.
 
-    The maximum is one row, so broadcasting it is bounded. It is taken over whole rows
-    with the date in front, which keeps both uses of ``per_person`` on the same columns:
-    Spark then computes the frame once and reuses its shuffle for the maximum.
+    The maximum is one row, so broadcasting it is bounded. Both uses of ``per_person``
+    share one computation.
     """
-    others = [name for name in per_person.columns if name != last_date]
-    newest = per_person.agg(F.max(F.struct(last_date, *others)).alias("newest")).select(
-        F.col(f"newest.{last_date}").alias("snapshot_date")
-    )
-    return per_person.crossJoin(F.broadcast(newest))
+    rows = computed_once(per_person)
+    newest = rows.agg(F.max(last_date).alias("snapshot_date"))
+    return rows.crossJoin(F.broadcast(newest))
 
 
 def rfm_features(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:

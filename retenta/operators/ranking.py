@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retenta.functions.scalars import shuffled_key
+from retenta.operators.sharing import computed_once
 
 DEFAULT_BUCKETS = 64
 
@@ -41,12 +42,10 @@ def running_totals(
     """Add, for each column in ``sums``, its total up to and including the row
     (``<name>_upto``) and its total over the key (``<name>_all``), and the ``bucket``.
 
-    ``rows`` must hold each (keys, value) once, with a positive sum of ``sums``; ``keys``
-    must be a short list of groups, such as feature names.
+    ``rows`` must hold each (keys, value) once; ``keys`` must be a short list of groups,
+    such as feature names.
     """
-    # The filter keeps every use of `rows` on the same columns, so its shuffle is reused.
-    weight = sum((F.col(name) for name in sums[1:]), F.col(sums[0]))
-    bucketed = _value_buckets(rows.filter(weight > 0), keys, value, buckets)
+    bucketed = _value_buckets(computed_once(rows), keys, value, buckets)
 
     def order(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
