@@ -25,18 +25,32 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair, both ways, over rows where both are present."""
-    doubles = df.select(*[F.col(name).cast("double").alias(name) for name in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one_row = doubles.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = []
-    for a, b in pairs:
-        for left, right in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(
-                    F.lit(left).alias("feature_a"),
-                    F.lit(right).alias("feature_b"),
-                    F.col(f"`{a}|{b}`").alias("correlation"),
-                )
-            )
-    return one_row.select(F.inline(F.array(*cells)))
+    """Pearson correlation of each pair, both ways, over rows where both are present.
+
+    Null where a column does not vary, for which ``F.corr`` would divide by zero. Every
+    row yields its pairs, which the partial aggregate takes in before any shuffle.
+    """
+    x, y = F.col("x"), F.col("y")
+    pairs = [
+        F.struct(
+            F.lit(a).alias("feature_a"),
+            F.lit(b).alias("feature_b"),
+            F.col(a).cast("double").alias("x"),
+            F.col(b).cast("double").alias("y"),
+        )
+        for i, a in enumerate(columns)
+        for b in columns[i:]
+    ]
+    sums = (
+        df.select(F.inline(F.array(*pairs)))
+        .filter(x.isNotNull() & y.isNotNull())
+        .groupBy("feature_a", "feature_b")
+        .agg(F.covar_pop("x", "y").alias("joint"), F.stddev_pop("x").alias("dx"), F.stddev_pop("y").alias("dy"))
+    )
+    one_way = sums.select(
+        "feature_a", "feature_b", F.try_divide("joint", F.col("dx") * F.col("dy")).alias("correlation")
+    )
+    a, b = F.col("feature_a"), F.col("feature_b")
+    this, mirrored = F.struct(a, b), F.struct(b.alias("feature_a"), a.alias("feature_b"))
+    ways = F.when(a == b, F.array(this)).otherwise(F.array(this, mirrored))
+    return one_way.select(F.inline(ways), "correlation")

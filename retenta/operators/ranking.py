@@ -22,13 +22,15 @@ def _value_buckets(rows: DataFrame, keys: list[str], value: str, buckets: int) -
 
     The quantiles only balance the buckets; any error in them leaves results exact.
     """
+    if buckets < 2:
+        return rows.withColumn("bucket", F.lit(0))
     probabilities = [i / buckets for i in range(1, buckets)]
     bounds = rows.groupBy(*keys).agg(
         F.percentile_approx(value, probabilities, max(1000, 20 * buckets)).alias("bounds")
     )
     with_bounds = rows.join(F.broadcast(bounds), keys) if keys else rows.crossJoin(F.broadcast(bounds))
     below = F.filter("bounds", lambda bound: bound < F.col(value))
-    return with_bounds.withColumn("bucket", F.size(below)).drop("bounds")
+    return with_bounds.withColumn("bucket", F.coalesce(F.size(below), F.lit(0))).drop("bounds")
 
 
 def running_totals(

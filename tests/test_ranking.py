@@ -75,6 +75,12 @@ def test_correlations_skip_missing_pairs(spark):
     assert got["a", "a"] == pytest.approx(1.0) and len(got) == 4
 
 
+def test_correlation_of_a_constant_is_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 4.5)], "a double, b double")
+    got = {(r["feature_a"], r["feature_b"]): r["correlation"] for r in correlations(df, ["a", "b"]).collect()}
+    assert got["a", "b"] is None and got["a", "a"] is None and got["b", "b"] == pytest.approx(1.0)
+
+
 def test_split_is_exact_repeatable_and_whole(spark):
     df = spark.range(2003).select(F.col("id").alias("who"), (F.col("id") % 7 == 0).cast("int").alias("y"))
     first = stratified_split(df, "who", "y", 0.7, 0.15, 42, hex_digits=2)
