@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +10,13 @@ from pyspark.sql import functions as F
 from retenta.config import FEATURE_COLS, RANDOM_SEED, TRAIN_RATIO, VAL_RATIO
 from retenta.functions.clv import BGNBDParams, GammaGammaParams
 from retenta.functions.scalars import feature_label, risk_tier
-from retenta.operators import clv_predict, evaluate, features, marts, orders, profile, quality, report, staging
+from retenta.operators import clv_predict, evaluate, features, marts, orders, profile, quality, report
 from retenta.operators.ranking import seeded_sample, stratified_split
-from retenta.plans import registered_models as models
+from retenta.plans import models
+from retenta.plans import registered_models as fitted
 from retenta.session import new_shared_path
 from retenta.sources import artifacts, warehouse
-from retenta.sources.retail import RawTables, raw_tables
+from retenta.sources.retail import raw_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,35 +32,6 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in names})
 
 
-@dataclass
-class Staged:
-    """The staged tables of one folder, and what is built on them."""
-
-    raw: RawTables
-
-    def tables(self) -> dict[str, DataFrame]:
-        r = self.raw
-        return {
-            "stg_orders": staging.stg_orders(r.orders),
-            "stg_customers": staging.stg_customers(r.customers),
-            "stg_order_items": staging.stg_order_items(r.order_items),
-            "stg_order_payments": staging.stg_order_payments(r.order_payments),
-            "stg_order_reviews": staging.stg_order_reviews(r.order_reviews),
-            "stg_products": staging.stg_products(r.products, r.product_category_translation),
-            "stg_sellers": staging.stg_sellers(r.sellers),
-        }
-
-    def per_order_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        t = self.tables()
-        return t["stg_orders"], t["stg_customers"], t["stg_order_payments"], t["stg_order_reviews"]
-
-    def customer_orders(self) -> DataFrame:
-        return orders.int_customer_orders(*self.per_order_inputs())
-
-    def rfm_mart(self) -> DataFrame:
-        return marts.mart_rfm_features(self.customer_orders())
-
-
 def _rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_tables(spark, sf_dir, delivery_dates=False)
     return features.rfm_features(r.orders, r.customers, r.order_payments)
@@ -87,12 +58,33 @@ def _churn_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _staged(spark: SparkSession, sf_dir: str) -> Staged:
-    return Staged(raw_tables(spark, sf_dir))
+def _staged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return models.staging_models(raw_tables(spark, sf_dir))
 
 
 def _staging_query(name: str) -> Query:
-    return lambda spark, sf_dir: _staged(spark, sf_dir).tables()[name]
+    return lambda spark, sf_dir: _staged(spark, sf_dir)[name]
+
+
+def _customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.customer_orders(_staged(spark, sf_dir))
+
+
+def _rfm_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.mart_rfm_features(_customer_orders(spark, sf_dir))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    spark.sql("CREATE DATABASE IF NOT EXISTS retenta_marts")
+    return models.build_models(
+        spark, raw_tables(spark, sf_dir), database="retenta_marts", location=new_shared_path(spark, "marts")
+    )
+
+
+def build_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of the marts, read from the tables just written."""
+    built = _built(spark, sf_dir)
+    return warehouse.row_counts({name: built[name] for name in built if name.startswith("mart_")})
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,17 +169,9 @@ def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality(kind: Callable) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        staged = _staged(spark, sf_dir)
-        raw = {f"raw_{name}": table for name, table in staged.raw.as_dict().items()}
-        rfm = staged.rfm_mart()
-        built = {
-            "int_customer_orders": staged.customer_orders(),
-            "mart_rfm_features": rfm,
-            "mart_churn_labels": marts.mart_churn_labels(rfm),
-            "mart_clv_features": marts.mart_clv_features(rfm),
-        }
+        raw = {f"raw_{name}": table for name, table in raw_tables(spark, sf_dir).as_dict().items()}
         checks = quality.RAW_CHECKS | quality.STAGING_CHECKS | quality.MART_CHECKS
-        return kind(raw | staged.tables() | built, checks)
+        return kind(raw | _built(spark, sf_dir), checks)
 
     return run
 
@@ -196,7 +180,7 @@ def _quality(kind: Callable) -> Query:
 
 
 def order_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.order_enriched(*_staged(spark, sf_dir).per_order_inputs())
+    return orders.order_enriched(*models.per_order_inputs(_staged(spark, sf_dir)))
 
 
 def active_after_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +243,7 @@ def queries() -> dict[str, Query]:
         "metrics_json": metrics_json,
         # staging
         **{name: _staging_query(name) for name in quality.STAGING_CHECKS},
+        "build_models": build_models,
         # data quality
         "dq_not_null": _quality(quality.not_null_report),
         "dq_unique": _quality(quality.unique_report),
@@ -269,13 +254,13 @@ def queries() -> dict[str, Query]:
         "churn_rate": lambda s, d: features.churn_rate(_churn_dataset(s, d)),
         "active_after_cutoff": active_after_cutoff,
         "snapshot_date": snapshot_date,
-        "order_revenue": lambda s, d: orders.order_revenue(_staged(s, d).tables()["stg_order_payments"]),
-        "order_reviews": lambda s, d: orders.order_reviews(_staged(s, d).tables()["stg_order_reviews"]),
+        "order_revenue": lambda s, d: orders.order_revenue(_staged(s, d)["stg_order_payments"]),
+        "order_reviews": lambda s, d: orders.order_reviews(_staged(s, d)["stg_order_reviews"]),
         "order_enriched": order_enriched,
-        "int_customer_orders": lambda s, d: _staged(s, d).customer_orders(),
-        "mart_rfm_features": lambda s, d: _staged(s, d).rfm_mart(),
-        "mart_clv_features": lambda s, d: marts.mart_clv_features(_staged(s, d).rfm_mart()),
-        "mart_churn_labels": lambda s, d: marts.mart_churn_labels(_staged(s, d).rfm_mart()),
+        "int_customer_orders": _customer_orders,
+        "mart_rfm_features": _rfm_mart,
+        "mart_clv_features": lambda s, d: marts.mart_clv_features(_rfm_mart(s, d)),
+        "mart_churn_labels": lambda s, d: marts.mart_churn_labels(_rfm_mart(s, d)),
         "churn_label_window": lambda s, d: features.add_churn_label(_rfm(s, d), WINDOW_DAYS),
         "churn_label_palive": churn_label_palive,
         "describe_features": describe_features,
@@ -295,9 +280,9 @@ def queries() -> dict[str, Query]:
         "predict_clv": lambda s, d: rounded(
             clv_predict.predict_clv(_rfm(s, d), BGNBD, GAMMA_GAMMA), 2, "predicted_clv"
         ),
-        "bgnbd_fit": models.bgnbd_fit,
-        "gamma_gamma_fit": models.gamma_gamma_fit,
-        "clv_params_roundtrip": models.clv_params_roundtrip,
+        "bgnbd_fit": fitted.bgnbd_fit,
+        "gamma_gamma_fit": fitted.gamma_gamma_fit,
+        "clv_params_roundtrip": fitted.clv_params_roundtrip,
         # churn model
         "feature_matrix": _matrix,
         "stratified_split": lambda s, d: stratified_split(
@@ -305,17 +290,17 @@ def queries() -> dict[str, Query]:
             "customer_unique_id", "churned", TRAIN_RATIO, VAL_RATIO, RANDOM_SEED,
         ),
         "split_sizes": split_sizes,
-        "class_weight": lambda s, d: models.class_weight_of(_churn_dataset(s, d)),
-        "standardize": models.standardize,
-        "train_churn": models.train_churn,
-        "predict_churn": models.predict_churn,
-        "feature_importance": models.feature_importance,
-        "feature_attribution": models.feature_attribution,
+        "class_weight": lambda s, d: fitted.class_weight_of(_churn_dataset(s, d)),
+        "standardize": fitted.standardize,
+        "train_churn": fitted.train_churn,
+        "predict_churn": fitted.predict_churn,
+        "feature_importance": fitted.feature_importance,
+        "feature_attribution": fitted.feature_attribution,
         "risk_tier": _on_predictions(lambda p: p.select("customer_unique_id", "churn_proba", "churn_risk_tier")),
         "merge_predictions": merge_predictions,
-        "batch_predictions": models.batch_predictions,
-        "train_pipeline": models.train_pipeline,
-        "churn_metrics": models.churn_metrics,
+        "batch_predictions": fitted.batch_predictions,
+        "train_pipeline": fitted.train_pipeline,
+        "churn_metrics": fitted.churn_metrics,
         # evaluation
         "roc_auc": _on_scores(lambda d: rounded(evaluate.roc_auc(d, "score", "churned"), 12, "roc_auc")),
         "roc_curve": _on_scores(lambda d: evaluate.roc_curve(d, "score", "churned")),
