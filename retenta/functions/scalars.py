@@ -56,6 +56,12 @@ def at_least_zero(value: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
 
 
+def present(name: str) -> Column:
+    """The value as double, with NaN as null: in comparisons and maxima Spark counts NaN
+    as the largest number."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+
+
 def is_delivered() -> Column:
     return F.col("order_status") == DELIVERED
 

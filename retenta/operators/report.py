@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retenta.config import RISK_TIERS
-from retenta.functions.scalars import amount, mean, mean_amount, money, tier_position
+from retenta.functions.scalars import amount, mean, mean_amount, money, present, tier_position
 from retenta.operators.orders import purchase_day
 from retenta.operators.ranking import exact_percentiles
 
@@ -33,14 +33,14 @@ def customer_detail(predictions: DataFrame) -> DataFrame:
     """Highest probability first; the sort is by range over all tasks."""
     return predictions.select(
         "customer_unique_id", "churn_proba", "churn_risk_tier", "predicted_clv"
-    ).orderBy(F.desc("churn_proba"), "customer_unique_id")
+    ).orderBy(present("churn_proba").desc_nulls_last(), "customer_unique_id")
 
 
 def kpi_cards(predictions: DataFrame) -> DataFrame:
     high = F.col("churn_risk_tier") == "High"
     totals = predictions.agg(
         F.count("*").alias("total_customers"),
-        F.avg("churn_proba").alias("avg_churn_proba"),
+        F.avg(present("churn_proba")).alias("avg_churn_proba"),
         F.count(F.when(high, 1)).alias("high_risk_count"),
         F.coalesce(F.sum(F.when(high, money("predicted_clv"))), F.lit(0)).alias("at_risk"),
     )
@@ -54,7 +54,7 @@ def tier_counts(predictions: DataFrame) -> DataFrame:
 
 
 def _with_value(predictions: DataFrame) -> DataFrame:
-    return predictions.filter(F.col("predicted_clv") > 0)
+    return predictions.filter(present("predicted_clv") > 0)
 
 
 def clv_by_tier(predictions: DataFrame) -> DataFrame:
@@ -90,7 +90,8 @@ def clv_quadrants(predictions: DataFrame, proba_split: float = 0.5) -> DataFrame
 
 
 def clv_bounds(predictions: DataFrame) -> DataFrame:
-    return predictions.agg(F.min("predicted_clv").alias("min_clv"), F.max("predicted_clv").alias("max_clv"))
+    value = present("predicted_clv")
+    return predictions.agg(F.min(value).alias("min_clv"), F.max(value).alias("max_clv"))
 
 
 def histogram(
@@ -105,7 +106,7 @@ def histogram(
     Without ``value_range`` the bins span the data. Empty bins are not listed.
     """
     by = by or []
-    v = F.col(value).cast("double")
+    v = present(value)
     rows = df.filter(v.isNotNull()).select(v.alias("v"), *by)
     if value_range is None:
         span = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"))

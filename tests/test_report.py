@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 
@@ -23,6 +24,15 @@ def test_missing_tier_is_kept(predictions):
     assert rows == [("Low", 30.0, 60.0, 2), ("Medium", None, None, None), ("High", 100.0, 100.0, 1)]
 
 
+def test_nan_is_left_out(spark, predictions):
+    odd = spark.createDataFrame([("n", math.nan, "nan", math.nan)], predictions.schema).unionByName(predictions)
+    assert report.kpi_cards(odd).first()["avg_churn_proba"] == pytest.approx(0.5)
+    assert [r["n_customers"] for r in report.clv_by_tier(odd).collect()] == [2, None, 1]
+    assert tuple(report.clv_bounds(odd).first()) == (0.0, 100.0)
+    assert report.clv_histogram(odd).agg({"n": "sum"}).first()[0] == 3
+    assert [r[0] for r in report.customer_detail(odd).collect()] == ["a", "b", "d", "c", "n"]
+
+
 def test_filters_are_inclusive(predictions):
     assert report.filter_predictions(predictions).count() == 4
     assert report.filter_predictions(predictions, "Low").count() == 2
