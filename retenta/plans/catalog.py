@@ -299,7 +299,7 @@ def queries() -> dict[str, Query]:
         "risk_tier": _on_predictions(lambda p: p.select("customer_unique_id", "churn_proba", "churn_risk_tier")),
         "merge_predictions": merge_predictions,
         "batch_predictions": fitted.batch_predictions,
-        "train_pipeline": fitted.train_pipeline,
+        "train_models": fitted.train_models,
         "churn_metrics": fitted.churn_metrics,
         # evaluation
         "roc_auc": _on_scores(lambda d: rounded(evaluate.roc_auc(d, "score", "churned"), 12, "roc_auc")),

@@ -116,7 +116,7 @@ def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def train_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def train_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, scores = _train(spark, sf_dir)
     return spark.createDataFrame([tuple(scores.values())], ", ".join(f"{name} double" for name in scores))
 
