@@ -24,6 +24,8 @@ from retenta.llm import text as T
 from retenta.llm import tokens as K
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, part int, start_in_part bigint, ids array<int>"
+#: Offsets are broadcast up to so many files, and joined as a table beyond.
+BROADCAST_FILES = 1_000_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.stripe.size": str(64 << 20),
@@ -80,6 +82,8 @@ def read_token_files(spark: SparkSession, path: str, wanted: Column | None = Non
     # One row a file, so that this window is as small as the list of files.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if len(rows.inputFiles()) <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     if wanted is not None:
         rows = rows.filter(wanted)
     return rows.join(offsets, "part").select(
