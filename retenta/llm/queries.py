@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import chat, language, neardup, packing, quality, secrets, token_files, urls
+from retenta.llm import chat, decontam, language, neardup, packing, quality, secrets, token_files, urls
 from retenta.llm import text as T
 from retenta.session import new_shared_path
 
@@ -22,6 +22,10 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs))
@@ -66,6 +70,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neardup": op1_neardup,
+        "op2_decontam": op2_decontam,
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,

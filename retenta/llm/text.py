@@ -121,13 +121,13 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         first = last
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> Words:
-    """Words of rows ``first`` to ``last``; none runs over the end of its row."""
+def words_of(data: np.ndarray, offsets: np.ndarray, first: int, last: int, apart: str = WHITE) -> Words:
+    """Words of rows ``first`` to ``last``: runs of anything but ``apart``, none over the end of its row."""
     low, high = int(offsets[first]), int(offsets[last])
     x = data[low:high]
     rows = offsets[first : last + 1] - low
     white = np.zeros(256, bool)
-    white[[ord(c) for c in WHITE]] = True
+    white[[ord(c) for c in apart]] = True
     inside = ~white[x]
     cut = np.zeros(len(x) + 1, bool)
     cut[rows] = True
