@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import chat, decontam, language, neardup, packing, quality, secrets, token_files, urls
+from retenta.llm import chat, decontam, language, neardup, packing, quality, secrets, substring, token_files, urls
 from retenta.llm import text as T
 from retenta.session import new_shared_path
 
@@ -44,6 +44,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, T.tokenizer_path(TOKENIZER), end_id=1, with_ids=False)
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.cleaned(table(spark, sf_dir, "documents")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn(docs))
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
+        "op6_substring": op6_substring,
         "op7_language": op7_language,
         "op8_chat": op8_chat,
         "op9_urls": op9_urls,
