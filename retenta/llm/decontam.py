@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from retenta.llm import text as T
 from retenta.llm.exprs import let
@@ -177,7 +178,8 @@ def _hits(docs: DataFrame, text_col: str, carry: list[str], sizes: list[int], wa
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64()))]))
     row = F.struct(*[F.col(f"`{name}`") for name in carry])
     frame = docs.select(row.alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return frame.mapInArrow(run, f"_row {frame.schema['_row'].dataType.simpleString()}, hits {HITS}")
+    hits = StructType.fromDDL(f"hits {HITS}")["hits"]
+    return frame.mapInArrow(run, StructType([frame.schema["_row"], hits]))
 
 
 def _longest(chain: Column) -> Column:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from retenta.llm import text as T
 from retenta.llm.graph import components
@@ -118,8 +119,8 @@ def _binary(first: np.ndarray, second: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, bands: int, band_rows: int, with_text: bool) -> DataFrame:
-    """``doc_id`` and ``node`` (null without words) of each row, with its bands, or with its text."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, give: str, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """``doc_id`` and ``node`` (null without words) of each row, with its ``bands``, its ``text``, or itself as ``row``."""
     table = T.byte_table()
 
     def run(batch: pa.RecordBatch):
@@ -132,25 +133,29 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, bands: int, band_rows: in
             node = _binary(*row_digests(hashes, words.of))
             node = pa.array(np.where(n > 0, np.array(node.to_pylist(), object), None), pa.binary())
             columns = [batch.column(0).slice(first, last - first), node]
-            if with_text:
-                columns.append(column.slice(first, last - first))
-            else:
+            if give == "bands":
                 grams, row, times = shingles(words, hashes, SHINGLE)
                 signed = signatures(grams, row, times.astype(float), last - first, bands * band_rows)
                 parts = signed.reshape(-1, bands, band_rows)
-                keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), parts.shape[:2]).copy()
+                salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+                keys = np.broadcast_to(salts, parts.shape[:2]).copy()
                 for k in range(band_rows):
                     keys = T.mix(keys ^ parts[:, :, k]) * np.uint64(0x9FB21C651E98DF25)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
                 columns.append(
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[n > 0].ravel().view(np.int64)))
                 )
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            else:
+                columns.append(batch.column(2 if give == "row" else 1).slice(first, last - first))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", give])
 
-    names = ["doc_id", "node", "text" if with_text else "bands"]
-    last = "text string" if with_text else "bands array<bigint>"
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return T.map_batches(rows, f"doc_id bigint, node binary, {last}", run)
+    columns = [F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    if give == "row":
+        columns.append(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
+    rows = docs.select(*columns)
+    kind = {"bands": ArrayType(LongType()), "text": StringType()}.get(give) or rows.schema["row"].dataType
+    schema = StructType([StructField("doc_id", LongType()), StructField("node", BinaryType()), StructField(give, kind)])
+    return T.map_batches(rows, schema, run)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -213,7 +218,7 @@ def _compared(members: DataFrame, n_reps: int, salt: int) -> tuple[DataFrame, Da
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, links, comps): node of each row; verified links between nodes; component of each linked node."""
     spark = docs.sparkSession
-    rows = stage(_rows(docs, id_col, text_col, bands, band_rows, with_text=False), "signatures")
+    rows = stage(_rows(docs, id_col, text_col, "bands", bands, band_rows), "signatures")
     nodes = rows.filter("node IS NOT NULL").select("doc_id", "node", "bands")
     keyed = nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "node").distinct()
     keyed = stage(keyed, "bands")
@@ -224,7 +229,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
     wanted = members.select("node").distinct()
     chosen = nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"))
     chosen = stage(chosen.join(wanted, "node", "left_semi"), "chosen")
-    texts = _rows(docs, id_col, text_col, bands, band_rows, with_text=True).withColumn(
+    texts = _rows(docs, id_col, text_col, "text").withColumn(
         "doc_id", F.coalesce("doc_id", F.lit(-(2**63)))
     )
     texts = texts.join(chosen, ["node", "doc_id"], "left_semi").select("node", "text")
@@ -247,15 +252,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
         n_reps *= 4
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, group_id (id of the kept document), size of the group, verified links
-    of the text (between different texts), and whether the row is the kept one."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: id, node, group and verified links, the kept row of the group, whether it is this."""
     rows, links, comps = link(docs, id_col, text_col)
     numbered = stage(rows.select("doc_id", "node", F.monotonically_increasing_id().alias("row")), "numbered")
     ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    per_node = comps.join(ends, "node", "left")
-    named = numbered.join(per_node, "node", "left").select(
+    named = numbered.join(comps.join(ends, "node", "left"), "node", "left").select(
         "doc_id",
+        "node",
         "row",
         # A text without words is a group of its own.
         F.coalesce("comp", "node", F.encode(F.concat(F.lit("row "), F.col("row").cast("string")), "utf-8")).alias("comp"),
@@ -263,14 +267,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     named = stage(named, "named")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    kept = named.groupBy("comp").agg(F.min(order).alias("kept"), F.count("*").alias("group_size"))
-    return named.join(stage(kept, "kept"), "comp").select(
-        "doc_id",
-        F.col("kept.doc_id").alias("group_id"),
-        "group_size",
-        "n_links",
-        (F.col("row") == F.col("kept.row")).alias("kept"),
+    best = named.groupBy("comp").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    return named.join(stage(best, "kept"), "comp").withColumn("kept", F.col("row") == F.col("best.row"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, group_id (id of the kept document), size of the group, verified links
+    of the text (between different texts), and whether the row is the kept one."""
+    return _grouped(docs, id_col, text_col).select(
+        "doc_id", F.col("best.doc_id").alias("group_id"), "group_size", "n_links", "kept"
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with its own columns; of rows of equal id and words, the one of least hash."""
+    chosen = _grouped(docs, id_col, text_col).filter("kept AND node IS NOT NULL").select("doc_id", "node")
+    none = F.lit(-(2**63))
+    chosen = stage(chosen.withColumn("doc_id", F.coalesce("doc_id", none)), "chosen")
+    rows = _rows(docs, id_col, text_col, "row").withColumn("doc_id", F.coalesce("doc_id", none))
+    met = rows.filter("node IS NOT NULL").join(chosen, ["doc_id", "node"], "left_semi")
+    one = met.groupBy("doc_id", "node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").unionByName(rows.filter("node IS NULL").select("row.*"))
+
+
 T.ship_by_value(__name__)

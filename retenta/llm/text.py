@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 WHITE = " \t\n\v\f\r"
 CHUNK_BYTES = 1 << 21
@@ -158,7 +159,7 @@ def windows(hashes: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray,
     return mix(total[at]), at
 
 
-def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: StructType | str, run: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def each(batches):
