@@ -232,7 +232,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry:
         _longest(F.filter("chain", lambda x: x["same"])).alias("verbatim"),
         _longest(F.col("chain")).alias("template"),
     )
-    pairs = F.array_distinct(F.flatten(F.transform("template", lambda x: x["values"])))
+    pairs = F.array_distinct(F.flatten(F.transform("chain", lambda x: x["values"])))
+    # Windows of too few words are not matched and cut a chain in two; its slots must agree throughout all the same.
     one_to_one = let(pairs, lambda p: F.size(p) == F.size(F.array_distinct(F.transform(p, lambda x: x["item"]))))
     covers = lambda run: (F.size(run) > 0) & (F.size(run) + F.col("size") - 1 >= need)
     found = chained.filter(covers("verbatim") | (covers("template") & one_to_one)).select(

@@ -11,7 +11,10 @@ Rows of the signature make bands; texts that share a band are candidates. Equal
 one node beforehand. In each bucket the members are compared with a representative and not
 with each other; members of one component need no further comparison, and buckets that
 still hold several components go on with more representatives, so that in the end every two
-members of a bucket are in one component or have been compared. A pair is a link if the
+members of a bucket are in one component, have been compared, or can't be similar enough.
+Before they go on, shingles that few members have are looked up: members that share one are
+compared, and all other pairs have at most their frequent shingles in common, which rules
+out the many texts of a large group that differ from all others. A pair is a link if the
 Jaccard similarity of its shingle sets is 0.8 or more; components of links are the groups.
 
 Nulls and ties: a text without words (null, empty, white space) is in no group, each is kept;
@@ -35,6 +38,9 @@ from retenta.session import stage
 SHINGLE, SIMILARITY = 5, 0.8
 #: With 16 bands of 4 a pair of similarity 0.8 is missed with probability 2e-4.
 BANDS, BAND_ROWS = 16, 4
+#: Shingles of so many texts at most, among texts in mixed buckets, are rare.
+RARE = 8
+NO_ID = -(2**63)
 
 
 def shingles(words: T.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,26 +199,68 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return T.map_batches(joined, "a binary, b binary, similarity double", run)
 
 
-def _compared(members: DataFrame, n_reps: int, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of members (key, node, comp) with ``n_reps`` representatives of their bucket, and what remains.
+def _cut(texts: DataFrame) -> DataFrame:
+    """(node, shingle) for the distinct shingles of each text."""
+    table = T.byte_table()
+
+    def run(batch: pa.RecordBatch):
+        data, offsets = T.buffers(batch.column(1))
+        for first, last in T.row_chunks(offsets):
+            words = T.words_of(data, offsets, first, last)
+            grams, row, _ = shingles(words, words.hashes(table), SHINGLE)
+            node = batch.column(0).slice(first, last - first).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([node, pa.array(grams.view(np.int64))], names=["node", "shingle"])
+
+    return T.map_batches(texts.select("node", "text"), "node binary, shingle bigint", run)
+
+
+def _by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ``nodes`` that share a rare shingle, and (node, size, common): shingles, and those that are not rare.
 
-    Only pairs across components count. A representative has met all other members of its
-    bucket and leaves it.
+    A shingle is rare that ``RARE`` nodes at most have, so its pairs are few.
     """
-    rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "comp")
+    own = texts.join(nodes, "node", "left_semi")
+    counts = _cut(own).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
+    rare = stage(_cut(own).join(counts, "shingle"), "rare-shingles")
+    sizes = _cut(own).groupBy("node").agg(F.count("*").alias("size"))
+    seldom = rare.groupBy("node").agg(F.count("*").alias("rare"))
+    shares = sizes.join(seldom, "node", "left").select(
+        "node", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")
+    )
+    shared = rare.filter("n > 1").select("shingle", "node").join(nodes, "node")
+    other = shared.select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = shared.join(other, "shingle").filter("node > b AND comp != comp_b")
+    return pairs.select(F.col("node").alias("a"), "b").distinct(), shares
+
+
+def _compared(members: DataFrame, n_reps: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of members (key, node, comp, size, common) with ``n_reps`` representatives of their bucket, and what remains.
+
+    Representatives are those that share most of their shingles with others, so that they are
+    central. Only pairs across components count, and only those that can be similar enough:
+    with c shingles in common the similarity is c / (x + y - c), and pairs that share no rare
+    shingle have no more in common than either has shingles that are not rare. A
+    representative has then met all other members of its bucket and leaves it.
+    """
+    rank = F.struct((-F.col("common") / F.col("size")).alias("far"), F.xxhash64("node").alias("h"), "node", "comp", "size", "common")
     if n_reps == 1:
         reps = members.groupBy("key").agg(F.min(rank).alias("rep"))
     else:
-        # Each task's share of a bucket is cut to n_reps before the shuffle, so a large bucket is not gathered.
-        part = members.groupBy("key", F.pmod(F.xxhash64("node", F.lit(-salt)), F.lit(64)).alias("part"))
+        # A bucket is cut to n_reps in each of its parts before they meet, so a large one is not gathered.
+        part = members.groupBy("key", F.pmod(F.xxhash64("node", F.lit(n_reps)), F.lit(64)).alias("part"))
         some = part.agg(F.slice(F.sort_array(F.collect_list(rank)), 1, n_reps).alias("own"))
         all_of = some.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, n_reps).alias("own"))
         reps = all_of.select("key", F.explode("own").alias("rep"))
-    reps = stage(reps.select("key", F.col("rep.node").alias("rep"), F.col("rep.comp").alias("rep_comp")), "representatives")
-    met = members.join(reps, "key").filter("comp != rep_comp")
-    pairs = met.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
-    left = members.join(reps, (members["key"] == reps["key"]) & (members["node"] == reps["rep"]), "left_anti")
-    return pairs, left
+    reps = stage(
+        reps.select("key", *[F.col(f"rep.{name}").alias(f"rep_{name}") for name in ("node", "comp", "size", "common")]),
+        "representatives",
+    )
+    least = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("rep_size"))
+    possible = F.least("common", "rep_common", "size", "rep_size") >= least - 1e-9
+    met = members.join(reps, "key").filter((F.col("comp") != F.col("rep_comp")) & possible)
+    pairs = met.select(F.greatest("node", "rep_node").alias("a"), F.least("node", "rep_node").alias("b")).distinct()
+    used = reps.select("key", F.col("rep_node").alias("node"))
+    return pairs, members.join(used, ["key", "node"], "left_anti")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -223,33 +271,51 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
     keyed = nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "node").distinct()
     keyed = stage(keyed, "bands")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = stage(keyed.join(stage(shared, "buckets"), "key").withColumn("comp", F.col("node")), "members")
+    members = keyed.join(stage(shared, "buckets"), "key").withColumns(
+        # As long as it isn't counted what a text shares, it may share all.
+        {"comp": F.col("node"), "size": F.lit(1).cast("long"), "common": F.lit(1).cast("long")}
+    )
+    members = stage(members, "members")
 
     # One text for each node that is in any bucket with another; copies are told apart by id before they move.
     wanted = members.select("node").distinct()
-    chosen = nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"))
+    chosen = nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"))
     chosen = stage(chosen.join(wanted, "node", "left_semi"), "chosen")
-    texts = _rows(docs, id_col, text_col, "text").withColumn(
-        "doc_id", F.coalesce("doc_id", F.lit(-(2**63)))
-    )
+    texts = _rows(docs, id_col, text_col, "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     texts = texts.join(chosen, ["node", "doc_id"], "left_semi").select("node", "text")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
 
-    links = spark.createDataFrame([], "a binary, b binary, similarity double")
-    comps = spark.createDataFrame([], "node binary, comp binary")
+    checked = spark.createDataFrame([], "a binary, b binary, similarity double")
     n_reps = 1
+    counted = False
     while True:
-        pairs, left = _compared(members, n_reps, n_reps)
-        found = stage(_verified(stage(pairs, "pairs"), texts), "verified").filter(F.col("similarity") >= SIMILARITY)
-        links = links.unionByName(found)
+        pairs, left = _compared(members, n_reps)
+        pairs = stage(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked = checked.unionByName(stage(_verified(pairs, texts), "verified"))
+        links = checked.filter(F.col("similarity") >= SIMILARITY)
         comps = components(links)
-        renamed = left.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        renamed = stage(renamed, "members")
-        mixed = renamed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-        members = stage(renamed.join(stage(mixed.select("key"), "buckets"), "key", "left_semi"), "members")
+        left = stage(left.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+        members = _open(left)
         if members.isEmpty():
             return rows, links, comps
-        n_reps *= 4
+        if counted:
+            n_reps *= 4
+            continue
+        nodes = stage(members.select("node", "comp").distinct(), "mixed-nodes")
+        rare_pairs, shares = _by_rare_shingles(nodes, texts)
+        pairs = stage(rare_pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked = checked.unionByName(stage(_verified(pairs, texts), "verified"))
+        able = shares.filter(F.col("common") >= SIMILARITY * F.col("size") - 1e-9)
+        members = _open(stage(members.drop("size", "common").join(stage(able, "shares"), "node"), "members"))
+        counted = True
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, if they can be similar to the shortest member at all."""
+    span = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("size").alias("least"))
+    span = stage(span.filter("low != high").select("key", "least"), "buckets")
+    able = F.col("common") >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("least")) - 1e-9
+    return stage(members.join(span, "key").filter(able).drop("least"), "members")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -282,7 +348,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with its own columns; of rows of equal id and words, the one of least hash."""
     chosen = _grouped(docs, id_col, text_col).filter("kept AND node IS NOT NULL").select("doc_id", "node")
-    none = F.lit(-(2**63))
+    none = F.lit(NO_ID)
     chosen = stage(chosen.withColumn("doc_id", F.coalesce("doc_id", none)), "chosen")
     rows = _rows(docs, id_col, text_col, "row").withColumn("doc_id", F.coalesce("doc_id", none))
     met = rows.filter("node IS NOT NULL").join(chosen, ["doc_id", "node"], "left_semi")

@@ -36,8 +36,8 @@ GRIDS = {
     "repeat_rate": [0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.16, 0.18],
     "word_length": [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
 }
-#: How many good rows a rejected bad row may cost when a cutoff is picked among the certified.
-COST_OF_GOOD = 10
+#: How many bad rows must go for each good one that goes, when a cutoff is picked among the certified.
+COST_OF_GOOD = 100
 #: Strata beyond this many are joined and not broadcast.
 BROADCAST_STRATA = 10_000
 
@@ -104,7 +104,7 @@ def signals(docs: DataFrame, id_col: str, text_col: str, stratum_col: str | None
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed in logarithms from k down.
+    """P(X <= k) for X ~ Binomial(n, p), summed from k down, for k up to the mean; 1 as a bound beyond it.
 
     Terms more than 40 standard deviations below k are less than the last digit of the sum.
     """
@@ -127,7 +127,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
         ),
         lambda a: a["sum"],
     )
-    return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(first + F.log(down))))
+    return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(first + F.log(down))))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
