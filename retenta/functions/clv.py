@@ -55,13 +55,15 @@ def _expectation(m: BGNBDParams, horizons: dict[float, float]):
     """
     if abs(m.a - 1.0) < 1e-9:
         raise ValueError("the expectation is singular at a = 1")
-    first, second = m.a + m.b - 1.0 - m.r, m.a - 1.0
+    # Plain numbers, so that workers need no copy of this library to unpickle the function.
+    alpha, abx = float(m.alpha), float(m.a + m.b - 1.0)
+    first, second = float(m.a + m.b - 1.0 - m.r), float(m.a - 1.0)
     smallest = 1e-18 * min(1.0, abs(second))
 
     @F.pandas_udf("double")
     def expectation(x: pd.Series, age: pd.Series) -> pd.Series:
-        c = (m.a + m.b - 1.0 + x).to_numpy(dtype=float)
-        elapsed = (m.alpha + age).to_numpy(dtype=float)
+        c = (abx + x).to_numpy(dtype=float)
+        elapsed = (alpha + age).to_numpy(dtype=float)
         out = np.zeros(len(c))
         for horizon, weight in horizons.items():
             z = horizon / (elapsed + horizon)

@@ -16,10 +16,14 @@ def money(name: str) -> Column:
     """An amount in whole ten-thousandths, typed so that no sum of it can overflow.
 
     Sums of whole units do not depend on the order of the tasks, and making them through
-    a long is several times cheaper than casting each double to a decimal.
+    a long is several times cheaper than casting each double to a decimal. NaN and infinite
+    amounts have no units; they stop the job with the name of the column, as a sum of units
+    could only hide them. So do amounts of 1e14 and more.
     """
-    units = F.floor(F.col(name) * F.lit(float(MONEY_UNITS)) + 0.5)
-    return units.cast("decimal(18,0)")
+    value = F.col(name).cast("double")
+    wrong = F.isnan(value) | (F.abs(value) == float("inf"))
+    checked = F.when(wrong, F.raise_error(F.lit(f"{name} is not a finite amount")).cast("double")).otherwise(value)
+    return F.floor(checked * F.lit(float(MONEY_UNITS)) + 0.5).cast("decimal(18,0)")
 
 
 def amount(units: str) -> Column:

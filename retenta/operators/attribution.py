@@ -102,20 +102,21 @@ def feature_attribution(model: PipelineModel, model_path: str, rows: DataFrame)
     """
     spark = rows.sparkSession
     base, games = leaf_games(spark, model, model_path)
-    shared = spark.sparkContext.broadcast(games)
-    n_features = len(FEATURE_COLS)
+    # Plain tuples, so that workers need no copy of this library to read them.
+    shared = spark.sparkContext.broadcast([tuple(game) for game in games])
+    names, n_features = list(FEATURE_COLS), len(FEATURE_COLS)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch["scaled"].to_numpy()) if len(batch) else np.empty((0, n_features))
             phi = np.zeros((len(batch), n_features))
-            for game in shared.value:
-                chosen = x[:, game.features]
-                inside = (chosen > game.low) & (chosen <= game.high)
-                pattern = inside @ (1 << np.arange(len(game.features)))
-                phi[:, game.features] += game.table[pattern]
+            for features, low, high, table in shared.value:
+                chosen = x[:, features]
+                inside = (chosen > low) & (chosen <= high)
+                pattern = inside @ (1 << np.arange(len(features)))
+                phi[:, features] += table[pattern]
             out = batch[["customer_unique_id"]].assign(base_value=base)
-            for k, name in enumerate(FEATURE_COLS):
+            for k, name in enumerate(names):
                 out[f"phi_{name}"] = phi[:, k]
             yield out.assign(log_odds=batch["log_odds"])
 

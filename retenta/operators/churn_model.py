@@ -24,6 +24,9 @@ TREE_SETTINGS = {
 }
 # End of fixed values.
 
+#: Rows that one task passes over, about 100 bytes each.
+ROWS_PER_TASK = 50_000
+
 
 def class_weight(labelled: DataFrame, label: str = "churned") -> DataFrame:
     """Negatives per positive, 1.0 without positives, in one row with both counts."""
@@ -47,12 +50,16 @@ def with_double_features(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in FEATURE_COLS})
 
 
-def churn_pipeline(n_trees: int, seed: int, label: str) -> Pipeline:
+def fill_and_scale() -> list:
+    """Stages that fill gaps with the median and scale all features."""
     filled = [f"{name}_filled" for name in FEATURE_COLS]
+    return [Imputer(inputCols=FEATURE_COLS, outputCols=filled, strategy="median"), *standard_scaler(filled)]
+
+
+def churn_pipeline(n_trees: int, seed: int, label: str) -> Pipeline:
     return Pipeline(
         stages=[
-            Imputer(inputCols=FEATURE_COLS, outputCols=filled, strategy="median"),
-            *standard_scaler(filled),
+            *fill_and_scale(),
             GBTClassifier(
                 featuresCol="features",
                 labelCol=label,
@@ -83,7 +90,13 @@ def train_churn_model(
     rows = with_double_features(train).select(
         *FEATURE_COLS, F.col(label).cast("double").alias(label), weight.alias("row_weight")
     )
-    return churn_pipeline(n_trees, seed, label).fit(rows)
+    # A few jobs per tree pass over the rows, so a task should have work: about ROWS_PER_TASK rows.
+    n_rows = balance["n_positive"] + balance["n_negative"]
+    sized = rows.repartition(-(-n_rows // ROWS_PER_TASK)).persist()
+    try:
+        return churn_pipeline(n_trees, seed, label).fit(sized)
+    finally:
+        sized.unpersist()
 
 
 def save_churn_model(model: PipelineModel, path: str) -> None:

@@ -127,16 +127,23 @@ def _bgnbd_per_row() -> tuple[list[dict[str, Column]], dict[Key, Column]]:
     # Two ways to see no purchase since: still alive, or gone right after the last one.
     log_odds_gone = ln(a) - ln(before_last) + purchases * (log_age - log_last)
     specials = {
-        "odds_gone": F.when(x > 0, F.exp(F.least(log_odds_gone, F.lit(700.0)))).otherwise(0.0),
+        # The smaller of odds and inverse odds never overflows; both chances follow from it.
+        "log_odds": F.when(x > 0, log_odds_gone).otherwise(F.lit(float("-inf"))),
         "psi_abx": digamma(abx),
         "psi1_abx": trigamma(abx),
     }
-    odds_gone, psi_abx, psi1_abx = map(F.col, specials)
-    chances = {"alive": 1.0 / (1.0 + odds_gone), "gone": odds_gone / (1.0 + odds_gone)}
-    alive, gone = map(F.col, chances)
+    log_odds, psi_abx, psi1_abx = map(F.col, specials)
+    minor = F.exp(-F.abs(log_odds))
+    likely, unlikely = 1.0 / (1.0 + minor), minor / (1.0 + minor)
+    chances = {
+        "alive": F.when(log_odds > 0, unlikely).otherwise(likely),
+        "gone": F.when(log_odds > 0, likely).otherwise(unlikely),
+        "log_either": F.greatest(log_odds, F.lit(0.0)) + F.log1p(minor),
+    }
+    alive, gone, log_either = map(F.col, chances)
     rate = alive * inv_age + gone * inv_last
     terms: dict[Key, Column] = {
-        "value": lgamma(purchases) + lgamma(bx) - lgamma(abx) - purchases * log_age + ln(1.0 + odds_gone),
+        "value": lgamma(purchases) + lgamma(bx) - lgamma(abx) - purchases * log_age + log_either,
         0: digamma(purchases) - (alive * log_age + gone * log_last),
         1: -purchases * rate,
         2: gone / a - psi_abx,
@@ -242,8 +249,11 @@ GAMMA_GAMMA = Model(GammaGammaParams._fields, _gamma_gamma_per_row, _gamma_gamma
 
 
 def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER) -> GammaGammaParams:
-    """Fit (p, q, v) on persons with more than one purchase, on their total spend."""
-    repeat = bgnbd_inputs(features.filter(F.col("frequency") > 1)).filter(F.col("monetary_value") > 0)
+    """Fit (p, q, v) on persons with more than one purchase, on their total spend.
+
+    The model knows positive spend only; repeat buyers without one are an error in the data.
+    """
+    repeat = bgnbd_inputs(features.filter(F.col("frequency") > 1))
     rows = repeat.select(
         F.col("repeat_purchases").cast("double").alias("x"),
         F.col("monetary_value").alias("m"),
@@ -252,7 +262,10 @@ def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER) -> GammaG
     with staged(rows, "spend") as written:
         cached = written.persist()
         try:
-            weight = cached.agg(F.sum("n")).first()[0]
+            unfit = F.count(F.when(~F.coalesce(F.col("m") > 0, F.lit(False)) | F.isnan("m"), 1))
+            weight, n_unfit = cached.agg(F.sum("n"), unfit).first()
+            if n_unfit:
+                raise ValueError(f"{n_unfit} repeat customers have no positive spend")
             if not weight:
                 raise ValueError("no repeat customers to fit")
             p, q, v = _maximise(cached, GAMMA_GAMMA, weight, penalizer)

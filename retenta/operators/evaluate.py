@@ -12,10 +12,15 @@ from retenta.operators.ranking import running_totals
 
 
 def _ranked_scores(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """One row per distinct score with positives and negatives at or above it."""
+    """One row per distinct score with positives and negatives at or above it.
+
+    Spark would rank NaN above all numbers, so a NaN score stops the job.
+    """
+    value = F.col(score).cast("double")
+    checked = F.when(F.isnan(value), F.raise_error(F.lit(f"NaN in {score}")).cast("double")).otherwise(value)
     counts = (
         scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
+        .groupBy(checked.alias("score"))
         .agg(
             F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
             F.count(F.when(F.col(label) != 1, 1)).alias("neg"),

@@ -92,13 +92,14 @@ def order_enriched(
 def int_customer_orders(
     stg_orders: DataFrame, stg_customers: DataFrame, stg_payments: DataFrame, stg_reviews: DataFrame
 ) -> DataFrame:
-    """Order metrics per person; ``order_id`` is the key of the orders.
+    """Order metrics per person; an order counts once, however often its row is repeated.
 
     Orders are summed per ``customer_id`` before the customers are joined, so a customer
     with very many orders meets the join as a single row.
     """
+    of_order = Window.partitionBy("order_id", "customer_id").orderBy("order_purchase_at")
     sums = {
-        "total_orders": F.count("order_id"),
+        "total_orders": F.count(F.when(F.col("row_in_order") == 1, F.col("order_id"))),
         "total_revenue": F.sum("order_revenue"),
         "n_orders": F.count("*"),
         # A fixed scale keeps the sum of the order means free of rounding by task order.
@@ -109,6 +110,7 @@ def int_customer_orders(
     }
     per_customer = (
         _enriched_orders(stg_orders, stg_payments, stg_reviews)
+        .withColumn("row_in_order", F.row_number().over(of_order))
         .groupBy("customer_id")
         .agg(
             *[column.alias(name) for name, column in sums.items()],
@@ -192,15 +194,15 @@ def order_basket_rows(
             F.sum(money("freight_value")).alias("freights_sum"),
         )
     )
-    within_order = Window.partitionBy("order_id").orderBy("category")
-    baskets = baskets.withColumn("row_in_order", F.row_number().over(within_order))
-
     joined = (
         orders.select("order_id", "customer_id", purchase_day().alias("purchase_date"), _delivery_days().alias("days"))
         .join(per_order_payments, "order_id")
         .join(per_order_reviews, "order_id", "left")
         .join(baskets, "order_id", "left" if keep_without_items else "inner")
     )
+    # The joins leave the rows partitioned by order. A repeated order row counts no order again.
+    of_order = Window.partitionBy("order_id", "customer_id").orderBy("category")
+    joined = joined.withColumn("row_in_order", F.row_number().over(of_order))
     k_payments = F.col("k_payments")
     k_items = F.coalesce("k_items", F.lit(1).cast("bigint"))
     k_reviews = F.coalesce("k_reviews", F.lit(1).cast("bigint"))
@@ -210,7 +212,7 @@ def order_basket_rows(
         "category",
         "purchase_date",
         "used_installments",
-        F.when(F.coalesce("row_in_order", F.lit(1)) == 1, 1).otherwise(0).cast("bigint").alias("n_orders"),
+        F.when(F.col("row_in_order") == 1, 1).otherwise(0).cast("bigint").alias("n_orders"),
         (F.col("values_sum") * (k_items * k_reviews)).alias("payment_total"),
         (F.col("k_values") * k_items * k_reviews).alias("n_payments"),
         (F.col("scores_sum") * k_payments * k_items).alias("score_total"),

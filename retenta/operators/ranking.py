@@ -23,7 +23,7 @@ def _value_buckets(rows: DataFrame, keys: list[str], value: str, buckets: int) -
     The quantiles only balance the buckets; any error in them leaves results exact.
     """
     if buckets < 2:
-        return rows.withColumn("bucket", F.lit(0))
+        raise ValueError("one bucket would put all rows into one window")
     probabilities = [i / buckets for i in range(1, buckets)]
     bounds = rows.groupBy(*keys).agg(
         F.percentile_approx(value, probabilities, max(1000, 20 * buckets)).alias("bounds")

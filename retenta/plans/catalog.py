@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from retenta.config import FEATURE_COLS, RANDOM_SEED, TRAIN_RATIO, VAL_RATIO
 from retenta.functions.clv import BGNBDParams, GammaGammaParams
 from retenta.functions.scalars import feature_label, risk_tier
-from retenta.operators import clv_predict, evaluate, features, marts, orders, profile, quality, report
+from retenta.operators import churn_model, clv_predict, evaluate, features, marts, orders, profile, quality, report
 from retenta.operators.ranking import seeded_sample, stratified_split
 from retenta.plans import models
 from retenta.plans import registered_models as fitted
@@ -75,9 +76,8 @@ def _rfm_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    spark.sql("CREATE DATABASE IF NOT EXISTS retenta_marts")
     return models.build_models(
-        spark, raw_tables(spark, sf_dir), database="retenta_marts", location=new_shared_path(spark, "marts")
+        spark, raw_tables(spark, sf_dir), database=_new_database(spark), location=new_shared_path(spark, "marts")
     )
 
 
@@ -127,22 +127,30 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Export the raw tables as CSV, all but one, and load them into catalog tables."""
+    """Export all raw tables as CSV and load them into catalog tables, with one name that has no file."""
     tables = raw_tables(spark, sf_dir).as_dict()
     folder = new_shared_path(spark, "csv")
-    files = {name: f"{folder}/{name}" for name in tables}
+    files = {name: f"{folder}/{name}" for name in [*tables, "sessions"]}
     for name, table in tables.items():
-        if name != "geolocation":
-            table.write.option("header", True).option("escape", '"').csv(files[name])
-    spark.sql("CREATE DATABASE IF NOT EXISTS retenta_ingest")
+        table.write.option("header", True).option("escape", '"').csv(files[name])
     return warehouse.create_warehouse(
-        spark, files, database="retenta_ingest", location=new_shared_path(spark, "warehouse")
+        spark, files, database=_new_database(spark), location=new_shared_path(spark, "warehouse")
     )
 
 
+def _new_database(spark: SparkSession) -> str:
+    """A database of its own for each run, so that runs don't overwrite each other's tables."""
+    name = f"retenta_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    return name
+
+
 def load_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw_tables(spark, sf_dir).order_payments.createOrReplaceTempView("raw_order_payments")
-    return spark.table("raw_order_payments")
+    """The payments, saved as a catalog table and loaded by its name."""
+    database, path = _new_database(spark), new_shared_path(spark, "tables")
+    payments = raw_tables(spark, sf_dir).order_payments
+    payments.write.option("path", path).saveAsTable(f"{database}.raw_order_payments")
+    return warehouse.load_table(spark, "raw_order_payments", database)
 
 
 def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +298,7 @@ def queries() -> dict[str, Query]:
             "customer_unique_id", "churned", TRAIN_RATIO, VAL_RATIO, RANDOM_SEED,
         ),
         "split_sizes": split_sizes,
-        "class_weight": lambda s, d: fitted.class_weight_of(_churn_dataset(s, d)),
+        "class_weight": lambda s, d: churn_model.class_weight(_churn_dataset(s, d)),
         "standardize": fitted.standardize,
         "train_churn": fitted.train_churn,
         "predict_churn": fitted.predict_churn,

@@ -6,31 +6,29 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retenta.config import RANDOM_SEED
 from retenta.operators import churn_model, evaluate
 from retenta.operators.attribution import feature_attribution
-from retenta.operators.ranking import seeded_sample
 from retenta.plans.training import CHURN_MODEL, part, split_matrix
 from retenta.session import staged
 from retenta.sources import artifacts
 
 
 def run_evaluation(
-    spark: SparkSession, matrix: DataFrame, models_dir: str, runs_dir: str, max_samples: int | None = None
+    spark: SparkSession, matrix: DataFrame, models_dir: str, runs_dir: str
 ) -> dict[str, Any]:
     """Score the test part of ``matrix`` with the saved model and write what was found.
 
-    All test rows are explained unless ``max_samples`` asks for a seeded sample.
+    All test rows are explained. The matrix is written first, as the split reads it twice.
     """
     path = f"{models_dir}/{CHURN_MODEL}"
     model = churn_model.load_churn_model(spark, path)
-    rows = part(split_matrix(matrix), "test")
-    with staged(rows, "test") as test, staged(churn_model.score(model, test), "scored") as scored:
+    with (
+        staged(matrix, "matrix") as written,
+        staged(part(split_matrix(written), "test"), "test") as test,
+        staged(churn_model.score(model, test), "scored") as scored,
+    ):
         metrics = evaluate.churn_metrics(scored, "churn_proba", "prediction", "churned")
         artifacts.save_metrics(spark, metrics, "churn_evaluation", runs_dir)
         artifacts.write_roc_curve(evaluate.roc_curve(scored, "churn_proba", "churned"), f"{runs_dir}/roc_curve")
-        explained = test
-        if max_samples is not None:
-            explained = seeded_sample(test, "customer_unique_id", max_samples, RANDOM_SEED)
-        feature_attribution(model, path, explained).write.mode("overwrite").parquet(f"{runs_dir}/attribution")
+        feature_attribution(model, path, test).write.mode("overwrite").parquet(f"{runs_dir}/attribution")
     return metrics

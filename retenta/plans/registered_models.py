@@ -9,20 +9,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retenta.config import FEATURE_COLS
 from retenta.operators import attribution, churn_model, evaluate, features
 from retenta.operators.clv_fit import fit_bgnbd, fit_gamma_gamma
 from retenta.plans import evaluation, scoring, training
-from retenta.session import new_shared_path, stage
+from retenta.session import new_shared_path, stage, staged
 from retenta.sources import artifacts
 from retenta.sources.retail import raw_tables
 
 CUTOFF, WINDOW_DAYS = "1999-01-01", 365
-N_TREES = 5
-SCALED = ["monetary_value", "avg_order_value", "n_distinct_categories", "avg_freight_value"]
-
-# Where the models of a folder were saved in this application: jobs after training load
-# them from there, as they would in separate runs.
-_saved: dict[tuple[str, str], str] = {}
 
 
 def _rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,19 +32,30 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _train(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
     models_dir, runs_dir = new_shared_path(spark, "models"), new_shared_path(spark, "runs")
     scores = training.train(
-        spark, raw_tables(spark, sf_dir), models_dir, runs_dir, "window", N_TREES, CUTOFF, WINDOW_DAYS
+        spark,
+        raw_tables(spark, sf_dir),
+        models_dir,
+        runs_dir,
+        "window",
+        cutoff_date=CUTOFF,
+        churn_window_days=WINDOW_DAYS,
     )
-    _saved[spark.sparkContext.applicationId, sf_dir] = models_dir
     return models_dir, scores
 
 
-def _models_dir(spark: SparkSession, sf_dir: str) -> str:
-    return _saved.get((spark.sparkContext.applicationId, sf_dir)) or _train(spark, sf_dir)[0]
+def _classifier(spark: SparkSession, sf_dir: str):
+    """A classifier trained for this query, saved and loaded again, and its folder."""
+    path = f"{new_shared_path(spark, 'models')}/{training.CHURN_MODEL}"
+    with staged(_matrix(spark, sf_dir), "matrix") as matrix, staged(training.split_matrix(matrix), "split") as split:
+        churn_model.save_churn_model(churn_model.train_churn_model(training.part(split, "train")), path)
+    return churn_model.load_churn_model(spark, path), path
 
 
-def _model(spark: SparkSession, sf_dir: str):
-    path = f"{_models_dir(spark, sf_dir)}/{training.CHURN_MODEL}"
-    return churn_model.load_churn_model(spark, path), path
+def _behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = raw_tables(spark, sf_dir)
+    return features.behavioral_features(
+        r.orders, r.customers, r.order_payments, r.order_items, r.order_reviews, r.products
+    )
 
 
 def bgnbd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,48 +69,52 @@ def gamma_gamma_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clv_params_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bgnbd, gamma_gamma = artifacts.load_clv_params(spark, _models_dir(spark, sf_dir))
+    """Parameters fitted, saved and loaded again; an error unless they are the same."""
+    folder = new_shared_path(spark, "models")
+    with staged(_rfm(spark, sf_dir), "rfm") as rfm:
+        fitted = fit_bgnbd(rfm), fit_gamma_gamma(rfm)
+    artifacts.save_clv_params(spark, *fitted, folder)
+    bgnbd, gamma_gamma = artifacts.load_clv_params(spark, folder)
+    if (bgnbd, gamma_gamma) != fitted:
+        raise AssertionError(f"saved {fitted}, loaded {(bgnbd, gamma_gamma)}")
     values = bgnbd._asdict() | gamma_gamma._asdict()
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{name} double" for name in values))
 
 
-def class_weight_of(labelled: DataFrame) -> DataFrame:
-    return churn_model.class_weight(labelled)
-
-
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features scaled by the mean and deviation of the training part."""
-    split = stage(training.split_matrix(_matrix(spark, sf_dir)), "split")
+    """All features, gaps filled with the median of the training part, scaled by its mean and deviation."""
+    split = stage(training.split_matrix(stage(_matrix(spark, sf_dir), "matrix")), "split")
     rows = churn_model.with_double_features(split)
-    scaler = Pipeline(stages=churn_model.standard_scaler(SCALED)).fit(rows.filter(F.col("split") == "train"))
+    scaler = Pipeline(stages=churn_model.fill_and_scale()).fit(rows.filter(F.col("split") == "train"))
     scaled = scaler.transform(rows).withColumn("scaled", vector_to_array("features"))
     return scaled.select(
         "customer_unique_id",
         "split",
-        *[F.round(F.col("scaled")[i], 7).alias(name) for i, name in enumerate(SCALED)],
+        *[F.round(F.col("scaled")[i], 7).alias(name) for i, name in enumerate(FEATURE_COLS)],
     )
 
 
 def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation ROC-AUC of a classifier fitted on the training part."""
-    split = stage(training.split_matrix(_matrix(spark, sf_dir)), "split")
-    model = churn_model.train_churn_model(training.part(split, "train"), n_trees=N_TREES)
+    split = stage(training.split_matrix(stage(_matrix(spark, sf_dir), "matrix")), "split")
+    model = churn_model.train_churn_model(training.part(split, "train"))
     return evaluate.roc_auc(churn_model.score(model, training.part(split, "val")), "churn_proba", "churned")
 
 
 def predict_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _model(spark, sf_dir)
-    return churn_model.predict_churn(model, _matrix(spark, sf_dir))
+    """Scores of every customer with behaviour features."""
+    model, _ = _classifier(spark, sf_dir)
+    return churn_model.predict_churn(model, _behavioral(spark, sf_dir))
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return churn_model.feature_importance(spark, _model(spark, sf_dir)[0])
+    return churn_model.feature_importance(spark, _classifier(spark, sf_dir)[0])
 
 
 def feature_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributions of every person, with the gap between their sum and the log-odds."""
-    model, path = _model(spark, sf_dir)
-    explained = attribution.feature_attribution(model, path, _matrix(spark, sf_dir))
+    model, path = _classifier(spark, sf_dir)
+    explained = attribution.feature_attribution(model, path, _behavioral(spark, sf_dir))
     parts = [F.col(name) for name in explained.columns if name.startswith("phi_")]
     total = reduce(lambda a, b: a + b, parts, F.col("base_value"))
     return explained.withColumn("gap", F.round(F.abs(total - F.col("log_odds")), 9))
@@ -112,7 +122,7 @@ def feature_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.run_batch_predictions(
-        spark, raw_tables(spark, sf_dir), _models_dir(spark, sf_dir), new_shared_path(spark, "predictions")
+        spark, raw_tables(spark, sf_dir), _train(spark, sf_dir)[0], new_shared_path(spark, "predictions")
     )
 
 
@@ -123,5 +133,6 @@ def train_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def churn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs_dir = new_shared_path(spark, "runs")
-    evaluation.run_evaluation(spark, _matrix(spark, sf_dir), _models_dir(spark, sf_dir), runs_dir)
+    _, path = _classifier(spark, sf_dir)
+    evaluation.run_evaluation(spark, _matrix(spark, sf_dir), path.rpartition("/")[0], runs_dir)
     return artifacts.load_metrics(spark, runs_dir).drop("timestamp")

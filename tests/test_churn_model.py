@@ -146,7 +146,7 @@ def test_scoring_and_evaluation_jobs(spark, edge_tables, matrix, saved, tmp_path
     assert {r["customer_unique_id"] for r in written.collect()} == {"p1", "p2", "p3", "p4"}
     assert written.filter("predicted_clv < 0").count() == 0
 
-    metrics = evaluation.run_evaluation(spark, matrix, folder, f"{tmp_path}/runs", max_samples=20)
+    metrics = evaluation.run_evaluation(spark, matrix, folder, f"{tmp_path}/runs")
     assert set(metrics) == {"roc_auc", "average_precision", "classification_report"}
     assert spark.read.parquet(f"{tmp_path}/runs/attribution").count() == 20
     curve = artifacts.read_roc_curve(spark, f"{tmp_path}/runs/roc_curve")

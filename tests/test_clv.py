@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retenta.functions import clv
 from retenta.functions.clv import BGNBDParams, GammaGammaParams
-from retenta.operators import clv_predict
+from retenta.operators import clv_fit, clv_predict
 from retenta.operators.clv_fit import fit_bgnbd, fit_gamma_gamma
 
 TRUE = BGNBDParams(0.8, 6.0, 0.9, 3.0)
@@ -149,3 +149,47 @@ def test_fit_needs_customers(customers):
         fit_bgnbd(empty)
     with pytest.raises(ValueError):
         fit_gamma_gamma(empty)
+
+
+def test_a_heavy_buyer_who_left_is_not_cut(spark):
+    """Log-odds of 969: the value agrees with a computation in logarithms."""
+    r, alpha, a, b, x, last, age = row = (1.0, 0.05, 1.0, 2.0, 500.0, 0.1, 1.0)
+    frame = spark.createDataFrame([row], "r double, alpha double, a double, b double, x double, last double, age double")
+    steps, terms = clv_fit._bgnbd_per_row()
+    for step in steps:
+        frame = frame.withColumns(step)
+    value, alive, gone = frame.select(terms["value"], "alive", "gone").first()
+    log_odds = math.log(a / (b + x - 1)) + (r + x) * math.log((alpha + age) / (alpha + last))
+    plain = math.lgamma(r + x) + math.lgamma(b + x) - math.lgamma(a + b + x) - (r + x) * math.log(alpha + age)
+    assert log_odds > 900 and value == pytest.approx(plain + log_odds, rel=1e-12)
+    assert gone == 1.0 and alive < 1e-300
+
+
+def test_repeat_buyers_without_spend_are_an_error(customers):
+    frame, _ = customers
+    broken = frame.withColumn("monetary_value", F.when(F.col("frequency") > 2, 0.0).otherwise(F.col("monetary_value")))
+    with pytest.raises(ValueError, match="repeat customers have no positive spend"):
+        fit_gamma_gamma(broken)
+
+
+def test_workers_need_no_copy_of_the_library(tmp_path):
+    """Started from another folder, with the library on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+
+    program = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import functions as F
+from retenta.functions.clv import BGNBDParams, expected_purchases
+from retenta.session import build_session
+spark = build_session("apart", "local[2]", spark__ui__enabled="false")
+x, last, age = (F.col("id").cast("double") * k for k in (1, 2, 3))
+made = spark.range(1, 9).select(expected_purchases(x, last, age, BGNBDParams(0.9, 6.0, 0.7, 2.5), 10.0).alias("e"))
+print("sum", made.agg(F.sum("e")).first()[0] > 0)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", program, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "sum True" in done.stdout, done.stderr[-2000:]

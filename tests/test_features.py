@@ -212,3 +212,16 @@ def test_single_purchase_is_never_churned_by_alive_label(spark):
     frame = spark.createDataFrame([("a", 1, 0, 700)], "customer_unique_id string, frequency bigint, customer_lifespan_days int, customer_age_days int")
     row = features.add_alive_label(frame, BGNBDParams(0.8, 6.0, 0.9, 3.0)).first()
     assert (row["p_alive"], row["churned"]) == (1.0, 0)
+
+
+def test_repeated_order_rows_count_no_order_again(edge_tables):
+    """Counts are of distinct orders; the rows of an order may come twice."""
+    t = edge_tables
+
+    def frequency(orders):
+        made = features.behavioral_features(
+            orders, t.customers, t.order_payments, t.order_items, t.order_reviews, t.products
+        )
+        return {r.customer_unique_id: r.frequency for r in made.collect()}
+
+    assert frequency(t.orders.union(t.orders)) == frequency(t.orders)

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from retenta.functions import scalars
@@ -62,3 +63,10 @@ def test_log_gamma_and_its_derivatives(spark):
     frame = spark.createDataFrame([(0.7,), (12.0,)], "z double")
     for row in frame.select("z", lgamma(F.col("z")).alias("g")).collect():
         assert math.isclose(row["g"], math.lgamma(row["z"]), rel_tol=1e-11)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
+def test_amounts_that_are_no_number_stop_the_job(spark, bad):
+    frame = spark.createDataFrame([(1.0,), (bad,), (2.0,)], "spend double")
+    with pytest.raises(Exception, match="spend is not a finite amount"):
+        frame.agg(F.sum(scalars.money("spend"))).collect()
