@@ -86,5 +86,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_CHAT = r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+        UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    marked AS (
+        SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS DISTINCT FROM role AS opens,
+               length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS text_chars,
+               length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) AS role_chars
+        FROM turns),
+    joined AS (
+        SELECT conv_id, COUNT(*) AS n_turns,
+               string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+               string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss,
+               CAST(SUM(text_chars + CASE WHEN opens THEN length('<|im_start|>') + role_chars + 1 + length('<|im_end|>') + 1
+                                          ELSE length('<|im_sep|>') END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+           sha256(loss) AS loss_sha256, formatted_chars FROM joined"""
+
+
+def _urls_sql() -> str:
+    rules = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in urls.SITE_RULES)
+    marks = "|".join(urls.WORD_RULES)
+    return f"""
+    WITH rests AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+    rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+    fits AS (
+        SELECT p.*, r.* FROM parts AS p LEFT JOIN rules AS r
+        ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)),
+    best AS (
+        SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, rule DESC) AS place FROM fits)
+    SELECT page_id, host, path, rule,
+           coalesce(rule_verdict, CASE WHEN regexp_matches(host, '(^|[.-])({marks})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM best WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say the same; tests hold the other queries against brute force."""
+    return {"op8_chat": _CHAT, "op9_urls": _urls_sql()}
