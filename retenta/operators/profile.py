@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retenta.functions.scalars import present
 from retenta.operators.ranking import exact_percentiles, melt
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles (exact, linear) and max of each column."""
+    """count, mean, std, min, quartiles (exact, linear) and max of each column.
+
+    Moments of all columns come from one aggregate over the rows as they are; only the
+    quartiles need a row per column and value, and those are counted before they move.
+    """
     long = melt(df, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one_row = df.agg(
+        *[of(present(column)).alias(f"{name}_{i}") for i, column in enumerate(columns) for name, of in measures.items()]
     )
+    per_column = [
+        F.struct(F.lit(column).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in measures])
+        for i, column in enumerate(columns)
+    ]
+    moments = one_row.select(F.inline(F.array(*per_column)))
     quartiles = exact_percentiles(long, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return moments.join(quartiles, "feature").select(
         "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max"

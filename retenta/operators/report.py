@@ -103,7 +103,8 @@ def histogram(
 ) -> DataFrame:
     """Counts in ``bins`` bins of equal width, by ``by``; the last bin is closed.
 
-    Without ``value_range`` the bins span the data. Empty bins are not listed.
+    Without ``value_range`` the bins span the data. Empty bins are not listed. A value that
+    no bin can hold (infinite, or outside a given range) stops the job.
     """
     by = by or []
     v = present(value)
@@ -114,7 +115,9 @@ def histogram(
     else:
         rows = rows.withColumns({"low": F.lit(float(value_range[0])), "high": F.lit(float(value_range[1]))})
     width = (F.col("high") - F.col("low")) / float(bins)
-    step = F.floor(F.try_divide(F.col("v") - F.col("low"), width))
+    held = F.col("v").between(F.col("low"), F.col("high")) & (F.abs("v") != float("inf"))
+    wrong = F.raise_error(F.concat(F.lit(f"{value} has a value outside of all bins: "), F.col("v").cast("string")))
+    step = F.floor(F.try_divide(F.when(held, F.col("v") - F.col("low")).otherwise(wrong.cast("double")), width))
     index = F.least(F.greatest(F.coalesce(step, F.lit(0)), F.lit(0)), F.lit(bins - 1)).cast("int")
     return (
         rows.groupBy(index.alias("bin"), *by, "low", "high")

@@ -207,7 +207,9 @@ def churn_label_palive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = profile.describe(_behavioral(spark, sf_dir), FEATURE_COLS)
+    """Features and label."""
+    labelled = features.add_churn_label(_behavioral(spark, sf_dir), 180)
+    summary = profile.describe(labelled, [*FEATURE_COLS, "churned"])
     return rounded(summary, 4, "mean", "std", "p25", "p50", "p75")
 
 

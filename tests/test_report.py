@@ -88,3 +88,10 @@ def test_quality_reports(spark):
 def test_number_of_declared_checks():
     groups = (quality.RAW_CHECKS, quality.STAGING_CHECKS, quality.MART_CHECKS)
     assert [sum(len(n) + len(u) for n, u in g.values()) for g in groups] == [11, 18, 19]
+
+
+def test_values_outside_of_all_bins_stop_the_job(spark):
+    for values, span in (([0.5, 1.5], (0.0, 1.0)), ([1.0, float("inf")], None)):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        with pytest.raises(Exception, match="outside of all bins"):
+            report.histogram(frame, "v", 4, value_range=span).collect()
