@@ -230,7 +230,7 @@ def _by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, Da
     shared = rare.filter("n > 1").select("shingle", "node").join(nodes, "node")
     other = shared.select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     pairs = shared.join(other, "shingle").filter("node > b AND comp != comp_b")
-    return pairs.select(F.col("node").alias("a"), "b").distinct(), shares
+    return pairs.select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct(), shares
 
 
 def _compared(members: DataFrame, n_reps: int) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +258,9 @@ def _compared(members: DataFrame, n_reps: int) -> tuple[DataFrame, DataFrame]:
     least = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("rep_size"))
     possible = F.least("common", "rep_common", "size", "rep_size") >= least - 1e-9
     met = members.join(reps, "key").filter((F.col("comp") != F.col("rep_comp")) & possible)
-    pairs = met.select(F.greatest("node", "rep_node").alias("a"), F.least("node", "rep_node").alias("b")).distinct()
+    comps = {"comp_a": F.greatest("comp", "rep_comp"), "comp_b": F.least("comp", "rep_comp")}
+    ends = {"a": F.greatest("node", "rep_node"), "b": F.least("node", "rep_node")}
+    pairs = met.select(*[c.alias(k) for k, c in (ends | comps).items()]).distinct()
     used = reps.select("key", F.col("rep_node").alias("node"))
     return pairs, members.join(used, ["key", "node"], "left_anti")
 
@@ -286,28 +288,49 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
     texts = stage(texts.dropDuplicates(["node"]), "texts")
 
     checked = spark.createDataFrame([], "a binary, b binary, similarity double")
+    edges = spark.createDataFrame([], "a binary, b binary")
+    maps: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> None:
+        """Compare pairs that have not been compared, and note which components their links join."""
+        nonlocal checked, edges
+        new = stage(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        found = stage(_verified(new, texts), "verified")
+        checked = checked.unionByName(found)
+        linked = new.join(found.filter(F.col("similarity") >= SIMILARITY), ["a", "b"])
+        edges = edges.unionByName(linked.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+
     n_reps = 1
-    counted = False
     while True:
         pairs, left = _compared(members, n_reps)
-        pairs = stage(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = checked.unionByName(stage(_verified(pairs, texts), "verified"))
-        links = checked.filter(F.col("similarity") >= SIMILARITY)
-        comps = components(links)
-        left = stage(left.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-        members = _open(left)
+        verify(pairs)
+        # Only what the new links join is contracted; older components are single names by now.
+        merged = components(edges)
+        edges = edges.limit(0)
+        maps.append(merged)
+        renamed = merged.toDF("comp", "new_comp")
+        left = left.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new_comp", "comp")).drop("new_comp")
+        members = _open(stage(left, "members"))
         if members.isEmpty():
-            return rows, links, comps
-        if counted:
-            n_reps *= 4
-            continue
-        nodes = stage(members.select("node", "comp").distinct(), "mixed-nodes")
-        rare_pairs, shares = _by_rare_shingles(nodes, texts)
-        pairs = stage(rare_pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = checked.unionByName(stage(_verified(pairs, texts), "verified"))
-        able = shares.filter(F.col("common") >= SIMILARITY * F.col("size") - 1e-9)
-        members = _open(stage(members.drop("size", "common").join(stage(able, "shares"), "node"), "members"))
-        counted = True
+            return rows, checked.filter(F.col("similarity") >= SIMILARITY), _composed(maps)
+        if n_reps == 1 and len(maps) == 1:
+            nodes = stage(members.select("node", "comp").distinct(), "mixed-nodes")
+            rare_pairs, shares = _by_rare_shingles(nodes, texts)
+            verify(rare_pairs)
+            able = shares.filter(F.col("common") >= SIMILARITY * F.col("size") - 1e-9)
+            members = _open(stage(members.drop("size", "common").join(stage(able, "shares"), "node"), "members"))
+        else:
+            n_reps *= 8
+
+
+def _composed(maps: list[DataFrame]) -> DataFrame:
+    """(node, comp) of all nodes that any of the maps renames, each map taken after those before it."""
+    total = maps[-1]
+    for earlier in reversed(maps[:-1]):
+        later = total.toDF("comp", "last")
+        moved = earlier.join(later, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp"))
+        total = moved.unionByName(total.join(earlier.select("node"), "node", "left_anti"))
+    return stage(total, "components")
 
 
 def _open(members: DataFrame) -> DataFrame:
