@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from retenta.plans import catalog, oracle
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 WITHOUT_SQL = {
     "bgnbd_fit", "gamma_gamma_fit", "clv_params_roundtrip", "train_churn", "predict_churn", "feature_importance",
     "feature_attribution", "batch_predictions", "train_models", "churn_metrics",
@@ -36,4 +37,5 @@ def test_comparison_sees_differences(spark, con):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
