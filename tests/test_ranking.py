@@ -24,7 +24,7 @@ def clean(rows, key):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("buckets", [1, 4, 64])
+@pytest.mark.parametrize("buckets", [2, 4, 64])
 def test_running_totals(skewed, descending, buckets):
     df, rows = skewed
     counts = df.filter("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count("*").alias("n"))
@@ -101,3 +101,9 @@ def test_sample_is_repeatable(spark):
     assert once == {r[0] for r in seeded_sample(df.repartition(9), "who", 50, 1).collect()}
     assert len(once) == 50 and once != {r[0] for r in seeded_sample(df, "who", 50, 2).collect()}
     assert seeded_sample(df, "who", 5000, 1).count() == 1000
+
+
+def test_one_bucket_is_refused(skewed):
+    counts = skewed[0].filter("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count("*").alias("n"))
+    with pytest.raises(ValueError, match="one bucket"):
+        running_totals(counts, ["k"], "v", ["n"], buckets=1)
