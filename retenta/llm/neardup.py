@@ -9,12 +9,12 @@ texts agree in a register with the probability Jaccard similarity of their shing
 
 Rows of the signature make bands; texts that share a band are candidates. Equal texts are
 one node beforehand. In each bucket the members are compared with a representative and not
-with each other; members of one component need no further comparison, and buckets that
-still hold several components go on with more representatives, so that in the end every two
-members of a bucket are in one component, have been compared, or can't be similar enough.
-Before they go on, shingles that few members have are looked up: members that share one are
-compared, and all other pairs have at most their frequent shingles in common, which rules
-out the many texts of a large group that differ from all others. A pair is a link if the
+with each other; members of one component need no further comparison. Texts of buckets that
+still hold several components are joined by prefixes: with all shingles in one order, rarest
+first, similar texts share one of the first few and are of similar size. One text of each
+such key links families of texts first; then all pairs of different components that share a
+key and can be similar are compared, grouped by component, so that pairs within one are not
+made. This step is exact and finds similar texts without a common band, too. A pair is a link if the
 Jaccard similarity of its shingle sets is 0.8 or more; components of links are the groups.
 
 Nulls and ties: a text without words (null, empty, white space) is in no group, each is kept;
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
@@ -38,8 +38,12 @@ from retenta.session import stage
 SHINGLE, SIMILARITY = 5, 0.8
 #: With 16 bands of 4 a pair of similarity 0.8 is missed with probability 2e-4.
 BANDS, BAND_ROWS = 16, 4
-#: Shingles of so many texts at most, among texts in mixed buckets, are rare.
-RARE = 8
+#: Two texts are similar if they share this part of the sum of their sizes.
+SHARE = SIMILARITY / (1 + SIMILARITY)
+#: Counters of how many texts have a shingle; they set an order only, so sharing one costs time and no pair.
+SLOTS = 1 << 22
+#: Ratio of the sizes within a class of texts.
+SIZE_STEP = 1.06
 NO_ID = -(2**63)
 
 
@@ -199,38 +203,123 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return T.map_batches(joined, "a binary, b binary, similarity double", run)
 
 
-def _cut(texts: DataFrame) -> DataFrame:
-    """(node, shingle) for the distinct shingles of each text."""
+def _sizes_apart(size: np.ndarray) -> np.ndarray:
+    """Class of a number of shingles; texts are sought in the classes that can hold similar ones only."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(SIZE_STEP)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """About how many texts have a shingle, by the lowest bits of its hash: never too few, at least 1."""
+    table = T.byte_table()
+
+    def run(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            data, offsets = T.buffers(batch.column(0))
+            for first, last in T.row_chunks(offsets):
+                words = T.words_of(data, offsets, first, last)
+                grams, _, _ = shingles(words, words.hashes(table), SHINGLE)
+                np.add.at(seen, (grams & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        slot = np.flatnonzero(seen)
+        for k in range(0, len(slot), 50_000):
+            own = slot[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(seen[own])], names=["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = rows.filter("n > 1").toPandas()
+    counts = np.ones(SLOTS, np.uint32)
+    counts[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**32 - 1)
+    return counts
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(key, probe, node, comp, size, ahead) of ``texts`` (node, comp, text): two similar texts have a key in common,
+    the longer one as probe.
+
+    Shingles are put in one order for all texts, rarest first. Similar texts then share one among
+    the first few, and it says how long the other one is at most: with ``ahead`` shingles from it
+    on, no more can be in common. A shingle that no other text has is no key.
+    """
     table = T.byte_table()
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
 
     def run(batch: pa.RecordBatch):
-        data, offsets = T.buffers(batch.column(1))
-        for first, last in T.row_chunks(offsets):
+        data, offsets = T.buffers(batch.column(2))
+        counts = shared.value
+        for first, last in T.row_chunks(offsets, T.CHUNK_BYTES // 4):
             words = T.words_of(data, offsets, first, last)
             grams, row, _ = shingles(words, words.hashes(table), SHINGLE)
-            node = batch.column(0).slice(first, last - first).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([node, pa.array(grams.view(np.int64))], names=["node", "shingle"])
+            seen = counts[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]
+            order = np.lexsort((grams, seen, row))
+            grams, row, seen = grams[order], row[order], seen[order]
+            n = np.bincount(row, minlength=last - first)
+            size = n[row]
+            ahead = size - (np.arange(len(row)) - (np.cumsum(n) - n)[row])
+            least = np.ceil(SIMILARITY * size - 1e-9)
+            most = np.minimum(size, np.floor(ahead / SHARE + 1e-6) - size)
+            probe = np.flatnonzero((most >= least) & (seen > 1))
+            low, high = _sizes_apart(least[probe]), _sizes_apart(most[probe])
+            times = high - low + 1
+            each = np.repeat(np.arange(len(probe)), times)
+            kind = low[each] + np.arange(len(each)) - (np.cumsum(times) - times)[each]
+            index = np.flatnonzero((ahead >= 2 * SHARE * size - 1e-6) & (seen > 1))
+            at = np.concatenate([probe[each], index])
+            kind = np.concatenate([kind, _sizes_apart(size[index])]).astype(np.uint64)
+            keys = T.mix(grams[at] + (kind + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
+            whole = first + row[at]
+            for k in range(0, len(at), 50_000):
+                part = slice(k, k + 50_000)
+                take = pa.array(whole[part])
+                columns = [pa.array(keys[part]), pa.array(np.arange(len(at))[part] < len(each))]
+                columns += [batch.column(0).take(take), batch.column(1).take(take)]
+                columns += [pa.array(x[at[part]].astype(np.int32)) for x in (size, ahead)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "probe", "node", "comp", "size", "ahead"])
+
+    schema = "key bigint, probe boolean, node binary, comp binary, size int, ahead int"
+    return T.map_batches(texts.select("node", "comp", "text"), schema, run)
+
+
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """Rows of the keys that are a probe and an index of different components."""
+    span = keyed.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("probe").alias("longer"), F.bool_and("probe").alias("only")
+    )
+    return keyed.join(span.filter("low != high AND longer AND NOT only").select("key"), "key", "left_semi")
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """(a, b, comp_a, comp_b), greater names first, of (node, comp, other, comp_b)."""
+    return found.select(
+        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"),
+        F.greatest("comp", "other_comp").alias("comp_a"), F.least("comp", "other_comp").alias("comp_b"),
+    ).distinct()
 
-    return T.map_batches(texts.select("node", "text"), "node binary, shingle bigint", run)
 
+def _with_one(keyed: DataFrame) -> DataFrame:
+    """Pairs of each index row with one of its key, so that families of texts become components."""
+    own = keyed.filter("NOT probe").select("key", "node", "comp", "size")
+    one = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "comp", "size")).alias("one"))
+    met = own.join(one.select("key", *[F.col(f"one.{c}").alias(f"other{n}") for c, n in (("node", ""), ("comp", "_comp"), ("size", "_size"))]), "key")
+    enough = F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size") - 1e-9
+    return _pairs(met.filter((F.col("comp") != F.col("other_comp")) & enough))
 
-def _by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of ``nodes`` that share a rare shingle, and (node, size, common): shingles, and those that are not rare.
 
-    A shingle is rare that ``RARE`` nodes at most have, so its pairs are few.
+def _across(keyed: DataFrame) -> DataFrame:
+    """All pairs of different components that share a key and can be similar.
+
+    Keys are grouped by component first, so pairs within one are never made.
     """
-    own = texts.join(nodes, "node", "left_semi")
-    counts = _cut(own).groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
-    rare = stage(_cut(own).join(counts, "shingle"), "rare-shingles")
-    sizes = _cut(own).groupBy("node").agg(F.count("*").alias("size"))
-    seldom = rare.groupBy("node").agg(F.count("*").alias("rare"))
-    shares = sizes.join(seldom, "node", "left").select(
-        "node", "size", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")
+    both = keyed.groupBy("key", "comp", "probe").agg(F.min("size").alias("size"), F.max("ahead").alias("ahead"))
+    fits = (F.least("ahead", "other_ahead") >= SHARE * (F.col("size") + F.col("other_size")) - 1e-6) & (
+        F.col("comp") != F.col("other_comp")
     )
-    shared = rare.filter("n > 1").select("shingle", "node").join(nodes, "node")
-    other = shared.select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = shared.join(other, "shingle").filter("node > b AND comp != comp_b")
-    return pairs.select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct(), shares
+    names = {"comp": "other_comp", "size": "other_size", "ahead": "other_ahead", "node": "other"}
+    longer, shorter = both.filter("probe").drop("probe"), both.filter("NOT probe").drop("probe").withColumnsRenamed(names)
+    comps = longer.join(shorter, "key").filter(fits).select("key", "comp", "other_comp")
+    probes = keyed.filter("probe").drop("probe").join(comps, ["key", "comp"])
+    index = keyed.filter("NOT probe").drop("probe").withColumnsRenamed(names)
+    longer = F.col("size") >= F.col("other_size")
+    return _pairs(probes.join(index, ["key", "other_comp"]).filter(fits & longer))
 
 
 def _compared(members: DataFrame, n_reps: int) -> tuple[DataFrame, DataFrame]:
@@ -246,11 +335,9 @@ def _compared(members: DataFrame, n_reps: int) -> tuple[DataFrame, DataFrame]:
     if n_reps == 1:
         reps = members.groupBy("key").agg(F.min(rank).alias("rep"))
     else:
-        # A bucket is cut to n_reps in each of its parts before they meet, so a large one is not gathered.
-        part = members.groupBy("key", F.pmod(F.xxhash64("node", F.lit(n_reps)), F.lit(64)).alias("part"))
-        some = part.agg(F.slice(F.sort_array(F.collect_list(rank)), 1, n_reps).alias("own"))
-        all_of = some.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, n_reps).alias("own"))
-        reps = all_of.select("key", F.explode("own").alias("rep"))
+        # Spark cuts a bucket to n_reps in each task before its rows meet, so a large one is not gathered.
+        place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+        reps = members.select("key", rank.alias("rep")).withColumn("place", place).filter(F.col("place") <= n_reps)
     reps = stage(
         reps.select("key", *[F.col(f"rep.{name}").alias(f"rep_{name}") for name in ("node", "comp", "size", "common")]),
         "representatives",
@@ -300,27 +387,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
         linked = new.join(found.filter(F.col("similarity") >= SIMILARITY), ["a", "b"])
         edges = edges.unionByName(linked.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
 
-    n_reps = 1
-    while True:
-        pairs, left = _compared(members, n_reps)
-        verify(pairs)
-        # Only what the new links join is contracted; older components are single names by now.
+    def contracted(frame: DataFrame) -> DataFrame:
+        """The frame with the components that new links make; older components are single names by now."""
+        nonlocal edges
         merged = components(edges)
         edges = edges.limit(0)
         maps.append(merged)
         renamed = merged.toDF("comp", "new_comp")
-        left = left.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new_comp", "comp")).drop("new_comp")
-        members = _open(stage(left, "members"))
-        if members.isEmpty():
-            return rows, checked.filter(F.col("similarity") >= SIMILARITY), _composed(maps)
-        if n_reps == 1 and len(maps) == 1:
-            nodes = stage(members.select("node", "comp").distinct(), "mixed-nodes")
-            rare_pairs, shares = _by_rare_shingles(nodes, texts)
-            verify(rare_pairs)
-            able = shares.filter(F.col("common") >= SIMILARITY * F.col("size") - 1e-9)
-            members = _open(stage(members.drop("size", "common").join(stage(able, "shares"), "node"), "members"))
-        else:
-            n_reps *= 8
+        return frame.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new_comp", "comp")).drop("new_comp")
+
+    pairs, left = _compared(members, 1)
+    verify(pairs)
+    members = _open(stage(contracted(left), "members"))
+    if not members.isEmpty():
+        mixed = texts.join(stage(members.select("node", "comp").distinct(), "mixed-nodes"), "node")
+        keyed = stage(_mixed(stage(_prefixes(stage(mixed, "mixed-texts")), "prefixes")), "mixed-prefixes")
+        verify(_with_one(keyed))
+        keyed = stage(_mixed(contracted(keyed)), "mixed-prefixes")
+        verify(_across(keyed))
+        contracted(keyed)
+    return rows, checked.filter(F.col("similarity") >= SIMILARITY), _composed(maps)
 
 
 def _composed(maps: list[DataFrame]) -> DataFrame:

@@ -166,3 +166,55 @@ def test_core_symbols_do_not_depend_on_what_surrounds_a_window():
         inside = (s.low >= len(left)) & (s.high <= len(left) + 35)
         seen.add(tuple((int(n), int(a) - len(left)) for n, a in zip(s.name[inside], s.start[inside])))
     assert len(seen) == 1
+
+
+def template_rows(members: int = 40) -> list[tuple]:
+    """Two families of one template: similar within, about 0.7 across, no shingle in few texts but a text's own."""
+    rng = random.Random(31)
+    base = cases.words(rng, 200)
+    rows = []
+    for family in range(2):
+        own = list(base)
+        if family:
+            for at in range(10, 200, 29):
+                own[at] = "".join(cases.words(rng, 3))
+        for n in range(members):
+            text = list(own)
+            text[197] = f"x{family}n{n}"
+            rows.append((1000 * family + n, " ".join(text), "en", "s", 0))
+    return rows
+
+
+def test_families_of_one_template_are_not_compared_text_by_text(spark, monkeypatch):
+    rows = template_rows()
+    across = [len(a & b) / len(a | b) for a, b in [(shingle_set(rows[0][1]), shingle_set(rows[-1][1]))]][0]
+    assert 0.6 < across < 0.8
+    seen = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, texts: (seen.append(pairs.count()), verified(pairs, texts))[1])
+    # One band of one row, so that both families meet.
+    _, _, comps = neardup.link(cases.frame(spark, rows), bands=8, band_rows=1)
+    assert comps.select("comp").distinct().count() == 2 and comps.count() == len(rows)
+    assert sum(seen) < 10 * len(rows) < 40 * 40
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_prefixes_find_every_similar_pair(spark, seed):
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for _ in range(12):
+        base = cases.words(rng, rng.randrange(5, 90))
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = cases.words(rng, rng.randrange(3))
+            rows.append((n, " ".join(own)))
+            n += 1
+    sets = [shingle_set(r[1]) for r in rows]
+    pairs = {(j, i) for i in range(n) for j in range(i) if sets[i] != sets[j]}
+    want = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    texts = spark.createDataFrame([(i.to_bytes(16), i.to_bytes(16), t) for i, t in rows], "node binary, comp binary, text string")
+    keyed = neardup._mixed(neardup._prefixes(texts.repartition(3)))
+    found = {tuple(sorted((int.from_bytes(p.a), int.from_bytes(p.b)))) for p in neardup._across(keyed).collect()}
+    assert len(want) > 30 and want <= found and len(found) < len(pairs) / 4
