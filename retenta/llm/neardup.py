@@ -5,7 +5,9 @@ occur. The signature follows ProbMinHash: each shingle arrives at random registe
 Poisson process whose rate is its weight, and every register keeps the first arrival. All
 arrivals together are a Poisson process too, so the time by which all registers have one
 hardly depends on the text; arrivals beyond it are never made, which is the early end. Two
-texts agree in a register with the probability Jaccard similarity of their shingles.
+texts agree in a register with the probability Jaccard similarity of their shingles. That falls
+when one text repeats a passage, so a text with repeated shingles is also filed under the
+signature of its set, where each weighs 1; for all other texts both are the same.
 
 Rows of the signature make bands; texts that share a band are candidates. Equal texts are
 one node beforehand. In each bucket the members are compared with a representative and not
@@ -36,7 +38,7 @@ from retenta.llm.graph import components
 from retenta.session import stage
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: With 16 bands of 4 a pair of similarity 0.8 is missed with probability 2e-4.
+#: With 16 bands of 4 a pair of set similarity 0.8 is missed with probability 2e-4.
 BANDS, BAND_ROWS = 16, 4
 #: Two texts are similar if they share this part of the sum of their sizes.
 SHARE = SIMILARITY / (1 + SIMILARITY)
@@ -146,14 +148,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, give: str, bands: int = B
             if give == "bands":
                 grams, row, times = shingles(words, hashes, SHINGLE)
                 signed = signatures(grams, row, times.astype(float), last - first, bands * band_rows)
-                parts = signed.reshape(-1, bands, band_rows)
+                # The same registers for plain sets; they differ only where a shingle is repeated.
+                again = np.flatnonzero(np.bincount(row, times > 1, last - first))
+                part = np.isin(row, again)
+                plain = signatures(grams[part], np.searchsorted(again, row[part]), np.ones(part.sum()), len(again), bands * band_rows)
+                order = np.argsort(np.concatenate([np.arange(last - first), again]), kind="stable")
+                parts = np.concatenate([signed, plain])[order].reshape(-1, bands, band_rows)
                 salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
                 keys = np.broadcast_to(salts, parts.shape[:2]).copy()
                 for k in range(band_rows):
                     keys = T.mix(keys ^ parts[:, :, k]) * np.uint64(0x9FB21C651E98DF25)
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
+                sets = np.where(n > 0, 1 + np.isin(np.arange(last - first), again), 0)
+                ends = np.concatenate([[0], np.cumsum(bands * sets)])
+                live = np.repeat(n > 0, np.maximum(sets, 1))
                 columns.append(
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[n > 0].ravel().view(np.int64)))
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[live].ravel().view(np.int64)))
                 )
             else:
                 columns.append(batch.column(2 if give == "row" else 1).slice(first, last - first))

@@ -218,3 +218,15 @@ def test_prefixes_find_every_similar_pair(spark, seed):
     keyed = neardup._mixed(neardup._prefixes(texts.repartition(3)))
     found = {tuple(sorted((int.from_bytes(p.a), int.from_bytes(p.b)))) for p in neardup._across(keyed).collect()}
     assert len(want) > 30 and want <= found and len(found) < len(pairs) / 4
+
+
+def test_near_copies_with_a_repeated_passage_are_candidates(spark):
+    rng = random.Random(41)
+    rows = []
+    for n in range(20):
+        base = cases.words(rng, 114)
+        rows += [(2 * n, " ".join(base), "en", "s", 0), (2 * n + 1, " ".join(base + base[100:] * 40), "en", "s", 0)]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        assert len(a & b) >= 0.8 * len(a | b)
+    found = {r.doc_id: (r.group_id, r.group_size) for r in neardup.groups(cases.frame(spark, rows)).collect()}
+    assert found == {i: (i - i % 2, 2) for i in range(40)}
