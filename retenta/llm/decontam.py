@@ -7,7 +7,9 @@ of eight such tokens, at least half of them words, are hash-joined with those of
 benchmark. Matches of one document and item on one diagonal (the same shift between their
 positions) chain up, and a chain is a leak if it is long enough and either the slots hold the
 same values (verbatim) or every value of the item stands for one and the same value in the
-document throughout (a question with other parameters).
+document throughout (a question with other parameters). Windows of the tokens as they are, folded
+in case and whatever their class, go the same way besides and give verbatim leaks, so a copy
+counts whatever its names, numbers, case or place in a sentence.
 
 The windows of the benchmark are counted first. Up to ``BROADCAST_WINDOWS`` their hashes go
 to the tasks, which then pass on matching windows only; beyond, all windows are joined by
@@ -45,6 +47,8 @@ UNITS = (
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _ENDS_SENTENCE = ".!?:\n\""
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Sets hashes of windows of plain tokens apart from those of templates.
+EXACT = 1 << 32
 
 HITS = "array<struct<hash:bigint,pos:int,slots:array<bigint>>>"
 
@@ -93,6 +97,12 @@ class Template:
         marks = T.mix(np.arange(4, dtype=np.uint64) + np.uint64(77))
         self.token = np.where(self.kind == LITERAL, own[at] if n else own, marks[self.kind])
         self.of = np.searchsorted(at, words.of)
+        self.raw, self.raw_of = own, words.of
+
+    def exact(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of windows of the tokens as they are, but for case."""
+        hashes, at = T.windows(self.raw, self.raw_of, size)
+        return T.mix(hashes + np.uint64(size + EXACT)), at
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and places of windows of which at least half are words."""
@@ -116,37 +126,38 @@ def _unit_hashes() -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per window of an item: hash, item, pos, size of the window, tokens of the item, slot values."""
+    """One row per window of an item: hash, item, pos, size of the window, tokens of the item, slot values, and
+    whether the window is one of plain tokens, which has no slots."""
 
     def run(batch: pa.RecordBatch):
         data, offsets = T.buffers(batch.column(1))
         rows = []
         for first, last in T.row_chunks(offsets):
             t = Template(data, offsets, first, last)
-            n = np.diff(t.of)
-            for size in range(LEAST_WINDOW, WINDOW + 1):
-                hashes, at = t.windows(size)
-                row = np.searchsorted(t.of, at, "right") - 1
-                # A long item has windows of the full size, a shorter one a single window over all of it.
-                own = np.flatnonzero(np.minimum(n[row], WINDOW) == size)
-                for k in own.tolist():
-                    i = int(row[k])
-                    rows.append(
-                        (int(hashes[k].view(np.int64)), first + i, int(at[k] - t.of[i]), size, int(n[i]), t.slots(int(at[k]), size))
-                    )
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = (pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            for exact, of in ((False, t.of), (True, t.raw_of)):
+                n = np.diff(of)
+                for size in range(LEAST_WINDOW, WINDOW + 1):
+                    hashes, at = t.exact(size) if exact else t.windows(size)
+                    row = np.searchsorted(of, at, "right") - 1
+                    # A long item has windows of the full size, a shorter one a single window over all of it.
+                    own = np.flatnonzero(np.minimum(n[row], WINDOW) == size)
+                    for k in own.tolist():
+                        i = int(row[k])
+                        slots = [] if exact else t.slots(int(at[k]), size)
+                        rows.append((int(hashes[k].view(np.int64)), first + i, int(at[k] - of[i]), size, int(n[i]), slots, exact))
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        kinds = (pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_())
         arrays = [pa.array(c, k) if k else batch.column(0).take(pa.array(c, pa.int64())) for c, k in zip(columns, kinds)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["hash", "item_id", "pos", "size", "tokens", "slots"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["hash", "item_id", "pos", "size", "tokens", "slots", "exact"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
     return T.map_batches(
-        rows, f"hash bigint, item_id {kind}, pos int, size int, tokens int, slots array<bigint>", run
+        rows, f"hash bigint, item_id {kind}, pos int, size int, tokens int, slots array<bigint>, exact boolean", run
     )
 
 
-def _hits(docs: DataFrame, text_col: str, carry: list[str], sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
+def _hits(docs: DataFrame, text_col: str, carry: list[str], sizes: list[tuple[int, bool]], wanted: np.ndarray | None) -> DataFrame:
     """The columns ``carry`` of each document, as ``_row``, with its windows; if ``wanted`` is given, those in it only."""
     spark = docs.sparkSession
     shared = None if wanted is None else spark.sparkContext.broadcast(np.sort(wanted))
@@ -161,16 +172,17 @@ def _hits(docs: DataFrame, text_col: str, carry: list[str], sizes: list[int], wa
             for first, last in T.row_chunks(offsets):
                 t = Template(data, offsets, first, last)
                 rows: list[list] = [[] for _ in range(last - first)]
-                for size in sizes:
-                    hashes, at = t.windows(size)
+                for size, exact in sizes:
+                    hashes, at = t.exact(size) if exact else t.windows(size)
+                    of = t.raw_of if exact else t.of
                     if known is not None:
                         maybe = np.flatnonzero(door[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
                         place = np.searchsorted(known, hashes[maybe])
                         maybe = maybe[known[np.minimum(place, len(known) - 1)] == hashes[maybe]]
                         hashes, at = hashes[maybe], at[maybe]
-                    row = np.searchsorted(t.of, at, "right") - 1
+                    row = np.searchsorted(of, at, "right") - 1
                     for h, p, i in zip(hashes.view(np.int64).tolist(), at.tolist(), row.tolist()):
-                        rows[i].append({"hash": h, "pos": p - int(t.of[i]), "slots": t.slots(p, size)})
+                        rows[i].append({"hash": h, "pos": p - int(of[i]), "slots": [] if exact else t.slots(p, size)})
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(rows, kind)], names=["_row", "hits"]
                 )
@@ -206,7 +218,7 @@ def _longest(chain: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``_row`` (the document's columns, or those named), ``contaminated`` and ``leaks``: item, verbatim or not, tokens, place."""
     bench = stage(benchmark_windows(benchmark), "benchmark-windows")
-    sizes = [row["size"] for row in bench.select("size").distinct().collect()]
+    sizes = [tuple(row) for row in bench.select("size", "exact").distinct().collect()]
     wanted = None
     if bench.count() <= BROADCAST_WINDOWS:
         wanted = bench.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
@@ -223,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry:
         (F.col("slots") == F.col("doc_slots")).alias("same"),
         F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")).alias("values"),
     )
-    chains = met.groupBy("_uid", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift"), "size", "tokens").agg(
+    chains = met.groupBy("_uid", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift"), "size", "tokens", "exact").agg(
         F.sort_array(F.collect_set(match)).alias("chain")
     )
     need = F.least(F.lit(LEAST_TOKENS), F.col("tokens"))

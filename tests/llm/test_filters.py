@@ -231,3 +231,19 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     filed = {r.rule: r.token for r in urls.filed(urls.rule_table(spark), parts, 10).collect()}
     assert filed["example.net/en/"] == "en" or filed["example.net/en/"] == "net"
     assert filed["org/fr/"] == "fr" and filed["net/"] == "net"
+
+
+def test_verbatim_copies_count_whatever_their_tokens(spark):
+    dense = "Let Anna Bert Carl Dora Emil Fritz 1 2 3 4 5 6 7 8 9 Gina Hans Ida Jan Kurt sum to 10 11 12"
+    items = [
+        "What is 12 * 7?", "The Quick Brown Fox Jumps Over The Lazy Dog", "WHO WROTE THE NOVEL MOBY DICK",
+        "Did Anna tell Bert that he owes Carl ten more coins than Dora paid Emil last week", "Name the river that flows past Paris", dense,
+    ]
+    rows = [
+        (0, f"so we ask: what is 12 * 7? and go on"), (1, f"it says that {items[1]} here"), (2, f"they shout {items[2]} again"),
+        (3, items[3].lower()), (4, f"today they name the river that flows past Paris again"), (5, f"x {dense} y"),
+        (6, "what is 12 * 8? The Quick Brown Fox Jumps Over The Lazy Cat"), (7, "who wrote the novel"),
+    ]
+    docs = cases.frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    found = {r.doc_id: (r.item_ids, r.verbatim) for r in decontam.report(docs, bench(spark, items)).collect()}
+    assert found == {**{i: ([i], True) for i in range(6)}, 6: ([], False), 7: ([], False)}
