@@ -2,12 +2,14 @@
 
 Where the file's rules cut texts at white space before anything else, ids of a text are the
 ids of its words one after another, so a worker asks the library once per new word and looks
-the rest up by hash. Any other file goes through the library text by text.
+the rest up by hash. Any other file goes through the library text by text. The file's added
+tokens (``<|endoftext|>``) have their own id wherever a text holds them, as in the library.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -40,6 +42,14 @@ def _cuts_at_space(path: str) -> bool:
     )
 
 
+def _added(path: str) -> dict[bytes, int] | None:
+    """The file's added tokens as bytes with their ids; None if they are not found by their bytes alone, longest first."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens") or []
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens)
+    return {t["content"].encode(): t["id"] for t in tokens} if plain else None
+
+
 class Encoder:
     """Ids of texts as one flat array and the number of ids of each text."""
 
@@ -47,8 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.by_word = _cuts_at_space(path)
+        self.added = _added(path)
+        self.by_word = self.added is not None and _cuts_at_space(path)
         self.table = T.byte_table(fold_case=True)
         self._forget()
 
@@ -95,6 +105,41 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows ``first`` to ``last`` of a string column's buffers."""
+        if self.by_word and self.added:
+            return self._around_added(data, offsets, first, last)
+        return self._encode(data, offsets, first, last)
+
+    def _around_added(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """As the library does, texts are cut at the file's added tokens before all else, and the rest is encoded."""
+        low, high = int(offsets[first]), int(offsets[last])
+        raw = data[low:high].tobytes()
+        rows = offsets[first : last + 1] - low
+        literal = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)))
+        found = [m.span() for m in literal.finditer(raw)] if any(x in raw for x in self.added) else []
+        if found:
+            # A match over the end of a row is none; what begins within it is looked for once more.
+            row = np.searchsorted(rows, [a for a, _ in found], "right") - 1
+            if any(b > rows[i + 1] for (_, b), i in zip(found, row.tolist())):
+                found = [m.span() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()) for m in literal.finditer(raw, a, b)]
+        if not found:
+            return self._encode(data, offsets, first, last)
+        start, end = np.array(found, np.int64).T
+        # Parts between row ends and added tokens, in order; the parts that are such tokens are taken out before encoding.
+        tails = np.setdiff1d(end, rows)
+        cuts = np.unique(np.concatenate([rows, start, tails]))
+        token = np.isin(cuts[:-1], start)
+        whole = np.repeat(token, np.diff(cuts))
+        text = data[low:high][~whole]
+        sizes = np.where(token, 0, np.diff(cuts))
+        ids, counts = self._encode(text, np.concatenate([[0], np.cumsum(sizes)]), 0, len(sizes))
+        at = (np.cumsum(counts) - counts)[token]
+        own = np.array([self.added[raw[a:b]] for a, b in found], np.int32)
+        ids = np.insert(ids, at, own)
+        counts = counts + token
+        part = np.searchsorted(rows, cuts[:-1], "right") - 1
+        return ids, np.bincount(part, counts, last - first).astype(np.int64)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
             texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(first, last)]
             return self._library(texts)
