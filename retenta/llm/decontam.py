@@ -217,7 +217,12 @@ def _longest(chain: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``_row`` (the document's columns, or those named), ``contaminated`` and ``leaks``: item, verbatim or not, tokens, place."""
-    bench = stage(benchmark_windows(benchmark), "benchmark-windows")
+    # Equal items are one until their ids are named, so copies of items never meet copies of documents.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    items = benchmark.select("item_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("copies"))
+    once = items.groupBy("copies").agg(F.max("text").alias("text"))
+    bench = stage(benchmark_windows(once, "copies").withColumnRenamed("item_id", "copies"), "benchmark-windows")
+    ids = items.groupBy("copies").agg(F.collect_set(F.struct("item_id")).alias("ids"))
     sizes = [tuple(row) for row in bench.select("size", "exact").distinct().collect()]
     wanted = None
     if bench.count() <= BROADCAST_WINDOWS:
@@ -235,7 +240,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry:
         (F.col("slots") == F.col("doc_slots")).alias("same"),
         F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")).alias("values"),
     )
-    chains = met.groupBy("_uid", "item_id", (F.col("doc_pos") - F.col("pos")).alias("shift"), "size", "tokens", "exact").agg(
+    chains = met.groupBy("_uid", "copies", (F.col("doc_pos") - F.col("pos")).alias("shift"), "size", "tokens", "exact").agg(
         F.sort_array(F.collect_set(match)).alias("chain")
     )
     need = F.least(F.lit(LEAST_TOKENS), F.col("tokens"))
@@ -250,14 +255,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry:
     covers = lambda run: (F.size(run) > 0) & (F.size(run) + F.col("size") - 1 >= need)
     found = chained.filter(covers("verbatim") | (covers("template") & one_to_one)).select(
         "_uid",
-        F.struct(
-            "item_id",
-            covers("verbatim").alias("verbatim"),
-            (F.greatest(F.size("verbatim"), F.when(one_to_one, F.size("template")).otherwise(0)) + F.col("size") - 1).alias("tokens"),
-            (F.col("shift") + F.get("template", F.lit(0))["pos"]).alias("at_token"),
-        ).alias("leak"),
+        "copies",
+        covers("verbatim").alias("verbatim"),
+        (F.greatest(F.size("verbatim"), F.when(one_to_one, F.size("template")).otherwise(0)) + F.col("size") - 1).alias("tokens"),
+        (F.col("shift") + F.get("template", F.lit(0))["pos"]).alias("at_token"),
     )
-    per_row = found.groupBy("_uid").agg(F.sort_array(F.collect_set("leak")).alias("leaks"))
+    named = found.join(ids, "copies").select(
+        "_uid",
+        F.transform(
+            "ids", lambda x: F.struct(x["item_id"].alias("item_id"), F.col("verbatim"), F.col("tokens"), F.col("at_token"))
+        ).alias("leaks"),
+    )
+    per_row = named.groupBy("_uid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("leaks")))).alias("leaks"))
     return rows.select("_uid", "_row").join(per_row, "_uid", "left").select(
         "_row", F.col("leaks").isNotNull().alias("contaminated"), "leaks"
     )

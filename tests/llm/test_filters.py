@@ -247,3 +247,15 @@ def test_verbatim_copies_count_whatever_their_tokens(spark):
     docs = cases.frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
     found = {r.doc_id: (r.item_ids, r.verbatim) for r in decontam.report(docs, bench(spark, items)).collect()}
     assert found == {**{i: ([i], True) for i in range(6)}, 6: ([], False), 7: ([], False)}
+
+
+def test_copies_of_an_item_meet_a_document_once(spark, monkeypatch):
+    docs = cases.frame(spark, [(i, f"before it. {ITEM}", "en", "s", 0) for i in range(5)])
+    counted = []
+    windows = decontam.benchmark_windows
+    monkeypatch.setattr(decontam, "benchmark_windows", lambda *own: (counted.append(windows(*own).count()), windows(*own))[1])
+    one = decontam.report(docs, bench(spark, [ITEM])).collect()
+    many = decontam.report(docs, bench(spark, [ITEM] * 50)).collect()
+    assert counted[0] == counted[1]
+    assert all(sorted(r.item_ids) == list(range(50)) for r in many)
+    assert {(r.doc_id, r.matched_tokens) for r in one} == {(r.doc_id, r.matched_tokens) for r in many}
