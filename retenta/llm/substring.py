@@ -254,6 +254,11 @@ def _opened(rows: DataFrame, size: int) -> DataFrame:
     return T.map_batches(rows.select("id", "digest", "packed", "open"), schema, run)
 
 
+def _once(spans: DataFrame, keys: DataFrame) -> DataFrame:
+    """The spans of one row of each id and text, with both; rows that repeat it have the same."""
+    return spans.join(keys.groupBy("id", "digest").agg(F.min("doc").alias("doc")), "doc")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(id, digest, spans): runs of words (at, n) to remove from each document that has any."""
     parsed = _parsed(docs, id_col, text_col, size, rounds).withColumn("doc", F.monotonically_increasing_id())
@@ -280,7 +285,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     again = windows.groupBy("anchor", "content").agg(F.sum("times").alias("all")).filter("all > 1").select("anchor", "content")
     single = windows.filter("times = 1").join(stage(again, "repeated-windows"), ["anchor", "content"], "left_semi")
     ranges = F.sort_array(F.collect_set(F.struct("at", "n")))
-    of_whole = whole.groupBy("doc").agg(ranges.alias("spans")).join(keys, "doc").select("id", "digest", "spans")
+    of_whole = _once(whole, keys).groupBy("id", "digest").agg(ranges.alias("spans"))
     of_single = single.groupBy("id", "digest").agg(
         F.transform(F.collect_set("at"), lambda at: F.struct(at.alias("at"), F.lit(size).alias("n"))).alias("spans")
     )

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retenta.llm import graph, neardup, substring
 from tests.llm import cases
@@ -230,3 +231,14 @@ def test_near_copies_with_a_repeated_passage_are_candidates(spark):
         assert len(a & b) >= 0.8 * len(a | b)
     found = {r.doc_id: (r.group_id, r.group_size) for r in neardup.groups(cases.frame(spark, rows)).collect()}
     assert found == {i: (i - i % 2, 2) for i in range(40)}
+
+
+def test_repeated_rows_bring_their_spans_once(spark):
+    keys = spark.range(40).selectExpr("id AS doc", "CAST(IF(id < 30, NULL, id) AS BIGINT) AS id", "IF(id < 30, 7L, id) AS digest")
+    spans = keys.select("doc", F.lit(3).alias("at"), F.lit(35).alias("n"))
+    found = substring._once(spans, keys).groupBy("id", "digest").count().collect()
+    assert len(found) == 11 and {r["count"] for r in found} == {1}
+    text = " ".join(cases.words(random.Random(3), 80))
+    rows = [(None, text, "en", "s", 0)] * 30 + [(1, text, "en", "s", 0)]
+    spans = substring.repeats(cases.frame(spark, rows)).collect()
+    assert len(spans) == 2 and all(len(r.spans) == len(set(r.spans)) for r in spans)
