@@ -38,7 +38,11 @@ def rule_table(spark: SparkSession, sites=SITE_RULES, words=WORD_RULES) -> DataF
     rows = []
     for verdict, host, path in sites:
         pattern = rf"^([^/?#]*\.)?{re.escape(host)}{re.escape(path)}"
-        rows.append(("site", verdict, host + path, pattern, re.findall(TOKEN, f"{host} {path}".lower())))
+        # What a prefix ends in goes on in a URL unless a separator ends it, so it is no whole token.
+        tokens = re.findall(TOKEN + r"(?=[^a-z0-9])", (host + path).lower())
+        if not tokens:
+            raise ValueError(f"site rule {host + path!r} has no whole token to be found by")
+        rows.append(("site", verdict, host + path, pattern, tokens))
     for word in words:
         rows.append(("word", "block", word, rf"^([^/?#]*[.-])?{re.escape(word)}([.-][^/?#]*)?(/|$)", re.findall(TOKEN, word)))
     rows = [(i, *row) for i, row in enumerate(rows)]

@@ -259,3 +259,14 @@ def test_copies_of_an_item_meet_a_document_once(spark, monkeypatch):
     assert counted[0] == counted[1]
     assert all(sorted(r.item_ids) == list(range(50)) for r in many)
     assert {(r.doc_id, r.matched_tokens) for r in one} == {(r.doc_id, r.matched_tokens) for r in many}
+
+
+def test_rules_that_end_within_a_token(spark):
+    pages = spark.createDataFrame(
+        [(i, f"http://a{i}.org/x") for i in range(9)] + [(20, "http://a.org/french/1"), (21, "http://a.org/fr"), (22, "http://b.org/de/fr")],
+        "page_id bigint, url string",
+    )
+    found = {r.page_id: r.rule for r in urls.judge(pages, urls.rule_table(spark, [("block", "org", "/fr")], [])).collect()}
+    assert {i: rule for i, rule in found.items() if rule} == {20: "org/fr", 21: "org/fr"}
+    with pytest.raises(ValueError, match="no whole token"):
+        urls.rule_table(spark, [("block", "org", "")])
