@@ -21,7 +21,6 @@ PATH = T.tokenizer_path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text or "", add_special_tokens=False).ids
 
 
@@ -56,7 +55,6 @@ def test_other_tokenizers_are_asked_text_by_text(library):
     data, offsets = T.buffers(pa.array(texts, pa.string()))
     ids, counts = encoder.encode(data, offsets, 0, len(texts))
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     assert ids.tolist() == [i for t in texts for i in own.encode(t or "", add_special_tokens=False).ids]
     assert counts.sum() == len(ids)
 
