@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import chat, decontam, language, neardup, packing, quality, secrets, substring, token_counts, token_files, urls
+from retenta.llm import chat, decontam, language, neardup, packing, quality, secrets, substring, token_counts, token_files, trie, urls
 from retenta.llm import text as T
 from retenta.session import new_shared_path
 
@@ -72,6 +72,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_token_files(spark, path))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), T.tokenizer_path(PIECE_MODEL))
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_urls": op9_urls,
         "op10_token_files": op10_token_files,
+        "op11_conversation_trie": op11_conversation_trie,
         "op13_token_counts": op13_token_counts,
     }
 
@@ -112,6 +117,48 @@ _CHAT = r"""
     SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
            sha256(loss) AS loss_sha256, formatted_chars FROM joined"""
 
+# The CRC-32 of an id is worked out bit by bit; a node is the list of its turns' hashes in one string.
+_TRIE = """
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(
+                   length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+        SELECT conv_id, COUNT(*) AS len, conv_id - conv_id % 20 AS base,
+               xor(4294967295, list_reduce(
+                   list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                            lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 4 AS h
+        FROM turns GROUP BY conv_id),
+    rebuilt AS (
+        SELECT c.conv_id, t.pos AS depth, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+        UNION ALL
+        SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.len, 0)), t.role, t.text
+        FROM convs c LEFT JOIN convs b ON b.conv_id = c.base JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+    ways AS (
+        SELECT conv_id, depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+               string_agg(sha256(length(role) || ':' || role || ':' || text), '') OVER (
+                   PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node
+        FROM rebuilt
+        UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+    ends AS (SELECT conv_id, max_by(node, depth) AS node FROM ways GROUP BY conv_id),
+    digests AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM ends GROUP BY node),
+    nodes AS (
+        SELECT node, left(node, greatest(length(node) - 64, 0)) AS parent, depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs,
+               any_value(words) AS words
+        FROM ways GROUP BY node, depth),
+    children AS (SELECT parent AS node, COUNT(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+    pairs AS (SELECT DISTINCT a.node, b.node AS below FROM ways a JOIN ways b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+    sums AS (
+        SELECT p.node, SUM(CASE WHEN c.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, SUM((n.n_convs - 1) * n.words) AS saved_tokens
+        FROM pairs p JOIN nodes n ON n.node = p.below LEFT JOIN children c ON c.node = p.below GROUP BY p.node)
+    SELECT n.conv_id, n.depth, CASE WHEN n.depth > 0 THEN p.conv_id END AS parent_conv_id, n.n_convs,
+           coalesce(c.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+           CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(d.ends_sha256, sha256('')) AS ends_sha256
+    FROM nodes n JOIN nodes p ON p.node = n.parent JOIN sums s ON s.node = n.node
+    LEFT JOIN children c ON c.node = n.node LEFT JOIN digests d ON d.node = n.node"""
+
 
 def _urls_sql() -> str:
     rules = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in urls.SITE_RULES)
@@ -135,4 +182,4 @@ def _urls_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say the same; tests hold the other queries against brute force."""
-    return {"op8_chat": _CHAT, "op9_urls": _urls_sql()}
+    return {"op8_chat": _CHAT, "op9_urls": _urls_sql(), "op11_conversation_trie": _TRIE}
