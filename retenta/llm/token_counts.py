@@ -187,7 +187,7 @@ def count_tokens(
     names = ["uid", "doc_id", "n_bytes", "known", "rare"]
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     measured_rows = stage(rows.mapInArrow(measured, schema), "frequencies")
-    shared.destroy()
+    shared.arrow.destroy()
     rare = measured_rows.select("uid", F.inline("rare")).join(pieces.filter(~in_head).select("token", "pieces"), "token")
     of_rare = rare.groupBy("uid").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     counted = measured_rows.join(of_rare, "uid", "left").withColumn(

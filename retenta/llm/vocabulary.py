@@ -8,7 +8,9 @@ text holds, so every key is short and a table of ``n`` keys has a known largest
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -87,33 +89,42 @@ def frequency_bin(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) * BINS_PER_DOUBLING).cast("int")
 
 
-def least_bin(counts: DataFrame, limit: int) -> int:
-    """The least bin of ``n`` from which on there are at most ``limit`` rows; the driver gets about a thousand numbers."""
-    sizes = counts.groupBy(frequency_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("rows")).collect()
+def least_bin(counts: DataFrame, limit: int, size: Column | None = None) -> int:
+    """The least bin of ``n`` from which on the rows' sizes (1 each if not given) add up to ``limit`` at most.
+
+    The driver gets about a thousand numbers.
+    """
+    own = F.lit(1) if size is None else size
+    sizes = counts.groupBy(frequency_bin(F.col("n")).alias("bin")).agg(F.sum(own).alias("size")).collect()
     total, least = 0, None
     for row in sorted(sizes, key=lambda r: -r["bin"]):
-        total += row["rows"]
+        total += row["size"]
         if total > limit:
             break
         least = row["bin"]
     return least if least is not None else 1 << 30
 
 
-def shared_table(rows: DataFrame) -> Broadcast:
-    """A table of bounded size, sent to every worker as Arrow bytes."""
+class SharedTable(NamedTuple):
+    """A table of bounded size that every worker can read, under a name of its own."""
+
+    name: str
+    arrow: Broadcast
+
+
+def shared_table(rows: DataFrame) -> SharedTable:
     table, sink = rows.toArrow(), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
-    return rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    return SharedTable(uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()))
 
 
-def read_shared(shared: Broadcast) -> pa.Table:
-    """As sent, read once per worker and job; the last one read is kept."""
+def read_shared(shared: SharedTable) -> pa.Table:
+    """The table, read once per worker; the last one read is kept."""
     store = T.worker_store()
-    name = ("shared table", getattr(shared, "_jid", None) or id(shared))
     held = store.get("shared table")
-    if held is None or held[0] != name:
-        held = store["shared table"] = (name, pa.ipc.open_stream(shared.value).read_all().combine_chunks())
+    if held is None or held[0] != shared.name:
+        held = store["shared table"] = (shared.name, pa.ipc.open_stream(shared.arrow.value).read_all().combine_chunks())
     return held[1]
 
 

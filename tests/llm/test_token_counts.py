@@ -89,6 +89,17 @@ def test_head_has_at_most_its_number_of_rows(spark):
         assert kept <= limit and (limit < 9 or kept == 9)
 
 
+def test_workers_read_the_table_of_their_own_job(spark):
+    for n in (3, 5, 4):
+        shared = V.shared_table(spark.range(n))
+
+        def sizes(batches):
+            yield from (pa.RecordBatch.from_pydict({"n": [len(V.read_shared(shared))]}) for _ in batches)
+
+        assert {r.n for r in spark.range(8, numPartitions=4).mapInArrow(sizes, "n bigint").collect()} == {n}
+        del shared
+
+
 def test_long_strings_go_by_their_digest():
     strings = pa.array([b"short", b"x" * 64, b"x" * 65, b"y" * 65], pa.binary())
     keys = V.keys_of(strings).to_pylist()
