@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import chat, decontam, language, neardup, packing, quality, secrets, substring, token_counts, token_files, trie, urls
+from retenta.llm import chat, collocations, decontam, language, neardup, packing, quality, secrets, substring, token_counts, token_files, trie, urls
 from retenta.llm import text as T
 from retenta.session import new_shared_path
 
@@ -76,6 +76,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.shared_head_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), T.tokenizer_path(PIECE_MODEL))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_urls": op9_urls,
         "op10_token_files": op10_token_files,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_collocations": op12_collocations,
         "op13_token_counts": op13_token_counts,
     }
 
@@ -159,6 +164,34 @@ _TRIE = """
     FROM nodes n JOIN nodes p ON p.node = n.parent JOIN sums s ON s.node = n.node
     LEFT JOIN children c ON c.node = n.node LEFT JOIN digests d ON d.node = n.node"""
 
+_PHRASES = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(
+            coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+    f1 AS (SELECT lang, w[i] AS w1, COUNT(*) AS n FROM starts GROUP BY ALL),
+    f2 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, COUNT(*) AS n FROM starts WHERE i + 1 <= len(w) GROUP BY ALL HAVING COUNT(*) >= 10),
+    f3 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, COUNT(*) AS n
+           FROM starts WHERE i + 2 <= len(w) GROUP BY ALL HAVING COUNT(*) >= 10),
+    sizes AS (SELECT lang, CAST(SUM(n) AS BIGINT) AS n FROM f1 GROUP BY lang),
+    cuts AS (
+        SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, 1 AS k, p.n AS a, x.n AS l, y.n AS r
+        FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+        WHERE NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = p.lang AND 100 * t.n >= 50 * p.n
+                          AND (t.w1 = p.w1 AND t.w2 = p.w2 OR t.w2 = p.w1 AND t.w3 = p.w2))
+        UNION ALL
+        SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.n, x.n, y.n
+        FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f2 y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+        UNION ALL
+        SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.n, x.n, y.n
+        FROM f3 t JOIN f2 x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w3),
+    scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+    picked AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM picked)
+    SELECT lang, rank, phrase, a, l, r, s.n, score FROM ranked JOIN sizes s USING (lang) WHERE rank <= 2000"""
+
 
 def _urls_sql() -> str:
     rules = ", ".join(f"('{host}{path}', '{host}', '{path}', '{verdict}')" for verdict, host, path in urls.SITE_RULES)
@@ -182,4 +215,4 @@ def _urls_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say the same; tests hold the other queries against brute force."""
-    return {"op8_chat": _CHAT, "op9_urls": _urls_sql(), "op11_conversation_trie": _TRIE}
+    return {"op8_chat": _CHAT, "op9_urls": _urls_sql(), "op11_conversation_trie": _TRIE, "op12_collocations": _PHRASES}
