@@ -38,9 +38,9 @@ HEAD_WORD_BYTES = 1 << 10
 #: Bits of the map of other frequent words.
 MAP_BITS = 1 << 26
 #: Suffixes that a task routes, and sorts, at once.
-ROWS_PER_BLOCK = 2_000_000
-ROWS_PER_ROUTE = 2_000_000
-CHUNK_BYTES = 1 << 23
+ROWS_PER_BLOCK = 500_000
+ROWS_PER_ROUTE = 1_000_000
+CHUNK_BYTES = 1 << 22
 NONE = -1
 
 
