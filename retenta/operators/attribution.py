@@ -17,22 +17,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retenta.config import FEATURE_COLS
-from retenta.operators.churn_model import with_double_features
-
-# The trees' margin is half the log-odds of the probability.
-LOG_ODDS_PER_MARGIN = 2.0
+from retenta.operators import boosted_trees
+from retenta.operators.boosted_trees import BoostedTrees
 
 
 class LeafGame(NamedTuple):
+    """A leaf's path features with the interval each must lie in, whether a missing value passes, and the table."""
+
     features: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    missing: np.ndarray
     table: np.ndarray
 
 
@@ -53,80 +51,68 @@ def _leaf_table(value: float, shares: list[float]) -> np.ndarray:
     return table
 
 
-def _leaf_games(nodes: dict[int, dict], weight: float) -> tuple[float, list[LeafGame]]:
+def _leaf_games(model: BoostedTrees, tree: int) -> tuple[float, list[LeafGame]]:
     base, games = 0.0, []
-    pending = [(nodes[0], {})]
+    pending: list[tuple[int, dict]] = [(0, {})]
     while pending:
-        node, path = pending.pop()
-        if node["leftChild"] < 0:
-            value = node["prediction"] * weight
-            shares = [share for _, _, share in path.values()]
+        place, path = pending.pop()
+        feature = int(model.feature[tree, place])
+        if feature < 0:
+            value = float(model.value[tree, place])
+            shares = [share for *_, share in path.values()]
             base += value * float(np.prod(shares))
             if path:
-                low, high = zip(*((lo, hi) for lo, hi, _ in path.values()))
-                games.append(
-                    LeafGame(np.array(list(path)), np.array(low), np.array(high), _leaf_table(value, shares))
-                )
+                low, high, missing, _ = (np.array(part) for part in zip(*path.values()))
+                games.append(LeafGame(np.array(list(path)), low, high, missing, _leaf_table(value, shares)))
             continue
-        feature, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-        low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-        for side, bounds in (("leftChild", (low, min(high, cut))), ("rightChild", (max(low, cut), high))):
-            child = nodes[node[side]]
-            passed = child["impurityStats"][0] / node["impurityStats"][0]
-            pending.append((child, {**path, feature: (*bounds, share * passed)}))
+        cut, missing_left = float(model.threshold[tree, place]), bool(model.missing_left[tree, place])
+        low, high, missing, share = path.get(feature, (-np.inf, np.inf, True, 1.0))
+        for child, bounds, passes in (
+            (2 * place + 1, (low, min(high, cut)), missing_left),
+            (2 * place + 2, (max(low, cut), high), not missing_left),
+        ):
+            passed = float(model.cover[tree, child] / model.cover[tree, place])
+            pending.append((child, {**path, feature: (*bounds, missing and passes, share * passed)}))
     return base, games
 
 
-def leaf_games(spark: SparkSession, model: PipelineModel, model_path: str) -> tuple[float, list[LeafGame]]:
-    """Base value and leaf tables, in log-odds, read from the saved trees.
-
-    What comes to the driver is bounded by the model: trees times nodes of one tree.
-    """
-    last = len(model.stages) - 1
-    folder = f"{model_path}/stages/{last}_{model.stages[last].uid}"
-    by_tree: dict[int, dict[int, dict]] = {}
-    for row in spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").collect():
-        by_tree.setdefault(row["treeID"], {})[row["id"]] = row.asDict(recursive=True)
+def leaf_games(model: BoostedTrees) -> tuple[float, list[LeafGame]]:
+    """Base value and leaf tables, in log-odds."""
     base, games = 0.0, []
-    for tree, weight in enumerate(model.stages[last].treeWeights):
-        tree_base, tree_games = _leaf_games(by_tree[tree], weight * LOG_ODDS_PER_MARGIN)
+    for tree in range(model.n_trees):
+        tree_base, tree_games = _leaf_games(model, tree)
         base += tree_base
         games += tree_games
     return base, games
 
 
-def feature_attribution(model: PipelineModel, model_path: str, rows: DataFrame) -> DataFrame:
+def feature_attribution(model: BoostedTrees, rows: DataFrame) -> DataFrame:
     """Per person: ``base_value``, one ``phi_<feature>`` each, and the ``log_odds``.
 
     For every row the base value and the attributions add up to the log-odds.
     """
-    spark = rows.sparkSession
-    base, games = leaf_games(spark, model, model_path)
+    base, games = leaf_games(model)
     # Plain tuples, so that workers need no copy of this library to read them.
-    shared = spark.sparkContext.broadcast([tuple(game) for game in games])
-    names, n_features = list(FEATURE_COLS), len(FEATURE_COLS)
+    shared = rows.sparkSession.sparkContext.broadcast([tuple(game) for game in games])
+    names = list(model.features)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["scaled"].to_numpy()) if len(batch) else np.empty((0, n_features))
-            phi = np.zeros((len(batch), n_features))
-            for features, low, high, table in shared.value:
+            x = batch[names].to_numpy(dtype=float)
+            unknown = np.isnan(x)
+            phi = np.zeros(x.shape)
+            for features, low, high, missing, table in shared.value:
                 chosen = x[:, features]
-                inside = (chosen > low) & (chosen <= high)
-                pattern = inside @ (1 << np.arange(len(features)))
-                phi[:, features] += table[pattern]
+                inside = np.where(unknown[:, features], missing, (chosen > low) & (chosen <= high))
+                phi[:, features] += table[inside @ (1 << np.arange(len(features)))]
             out = batch[["customer_unique_id"]].assign(base_value=base)
             for k, name in enumerate(names):
                 out[f"phi_{name}"] = phi[:, k]
             yield out.assign(log_odds=batch["log_odds"])
 
-    margin = vector_to_array("rawPrediction")[1]
-    transformed = model.transform(with_double_features(rows)).select(
-        "customer_unique_id",
-        vector_to_array("features").alias("scaled"),
-        (margin * LOG_ODDS_PER_MARGIN).alias("log_odds"),
-    )
-    id_type = transformed.schema["customer_unique_id"].dataType.simpleString()
-    doubles = ["base_value", *(f"phi_{name}" for name in FEATURE_COLS), "log_odds"]
+    picked = boosted_trees.margins(model, rows.select("customer_unique_id", *names), "log_odds")
+    picked = picked.select("customer_unique_id", *[F.col(name).cast("double").alias(name) for name in names], "log_odds")
+    id_type = picked.schema["customer_unique_id"].dataType.simpleString()
+    doubles = ["base_value", *(f"phi_{name}" for name in names), "log_odds"]
     schema = f"customer_unique_id {id_type}, " + ", ".join(f"{name} double" for name in doubles)
-    return transformed.mapInPandas(explain, schema)
+    return picked.mapInPandas(explain, schema)

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retenta.config import FEATURE_COLS, RANDOM_SEED
 from retenta.functions.scalars import feature_label, risk_tier
-from retenta.session import shared_dir
+from retenta.operators import boosted_trees, evaluate
+from retenta.operators.boosted_trees import BoostedTrees
 from retenta.sources.warehouse import require_path
 
 # Settings of the trees.
 N_TREES = 300
-TREE_SETTINGS = {
-    "maxDepth": 5,
-    "stepSize": 0.05,
-    "subsamplingRate": 0.8,
-    "featureSubsetStrategy": "0.8",
-}
+MAX_DEPTH = 5
+LEARNING_RATE = 0.05
+ROW_SHARE = 0.8
+FEATURE_SHARE = 0.8
 # End of fixed values.
 
-#: Rows that one task passes over, about 100 bytes each.
-ROWS_PER_TASK = 50_000
-
 
 def class_weight(labelled: DataFrame, label: str = "churned") -> DataFrame:
     """Negatives per positive, 1.0 without positives, in one row with both counts."""
@@ -56,80 +49,61 @@ def fill_and_scale() -> list:
     return [Imputer(inputCols=FEATURE_COLS, outputCols=filled, strategy="median"), *standard_scaler(filled)]
 
 
-def churn_pipeline(n_trees: int, seed: int, label: str) -> Pipeline:
-    return Pipeline(
-        stages=[
-            *fill_and_scale(),
-            GBTClassifier(
-                featuresCol="features",
-                labelCol=label,
-                weightCol="row_weight",
-                maxIter=n_trees,
-                seed=seed,
-                # Five levels are found again faster than node ids are kept and checkpointed.
-                cacheNodeIds=False,
-                checkpointInterval=20,
-                **TREE_SETTINGS,
-            ),
-        ]
-    )
-
-
 def train_churn_model(
-    train: DataFrame, label: str = "churned", n_trees: int = N_TREES, seed: int = RANDOM_SEED
-) -> PipelineModel:
-    """Fit imputation, scaling and trees on the training rows only.
-
-    Give a staged frame: every tree passes over it. Positives weigh as much in sum as
-    negatives. Missing values take the training median, as these trees need values.
+    train: DataFrame,
+    label: str = "churned",
+    n_trees: int = N_TREES,
+    seed: int = RANDOM_SEED,
+    id_col: str = "customer_unique_id",
+) -> BoostedTrees:
+    """Fit the trees on the training rows only.
+
+    Give a staged frame: it is read for the classes, the cut points and the bins. Positives weigh as
+    much in sum as negatives. Missing values go where each split gains most; trees need no scaling.
     """
-    shared_dir(train.sparkSession)
     balance = class_weight(train, label).first()
     if not balance["n_positive"] or not balance["n_negative"]:
         raise ValueError(f"both classes are needed to train, found {balance.asDict()}")
-    weight = F.when(F.col(label) == 1, float(balance["positive_weight"])).otherwise(1.0)
-    rows = with_double_features(train).select(
-        *FEATURE_COLS, F.col(label).cast("double").alias(label), weight.alias("row_weight")
-    )
-    # A few jobs per tree pass over the rows, so a task should have work: about ROWS_PER_TASK rows.
-    n_rows = balance["n_positive"] + balance["n_negative"]
-    sized = rows.repartition(-(-n_rows // ROWS_PER_TASK)).persist()
-    try:
-        return churn_pipeline(n_trees, seed, label).fit(sized)
-    finally:
-        sized.unpersist()
+    settings = boosted_trees.Settings(n_trees, MAX_DEPTH, LEARNING_RATE, ROW_SHARE, FEATURE_SHARE, seed=seed)
+    labelled = train.filter(F.col(label).isNotNull())
+    return boosted_trees.fit(labelled, FEATURE_COLS, label, id_col, float(balance["positive_weight"]), settings)
+
+
+def validation_report(model: BoostedTrees, rows: DataFrame, label: str = "churned") -> DataFrame:
+    """(tree, roc_auc): the metric of labelled rows after each tree, from tree 0 on."""
+    counts = boosted_trees.scores_by_tree(model, rows, label)
+    return evaluate.roc_auc_of_counts(counts, ["tree"], "margin").orderBy("tree")
 
 
-def save_churn_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_churn_model(spark: SparkSession, model: BoostedTrees, path: str) -> None:
+    boosted_trees.save(spark, model, path)
 
 
-def load_churn_model(spark: SparkSession, path: str) -> PipelineModel:
+def load_churn_model(spark: SparkSession, path: str) -> BoostedTrees:
     require_path(spark, path, "Run the training job first.")
-    return PipelineModel.load(path)
+    return boosted_trees.load(spark, path)
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score(model: BoostedTrees, rows: DataFrame) -> DataFrame:
     """Add ``churn_proba`` and ``prediction`` and keep the rows' own columns."""
-    probability = vector_to_array("probability")[1]
+    probability = 1.0 / (1.0 + F.exp(-F.col("_margin")))
     return (
-        model.transform(with_double_features(rows))
+        boosted_trees.margins(model, rows, "_margin")
         .withColumn("churn_proba", probability)
-        .withColumn("prediction", F.col("prediction").cast("int"))
-        .select(*rows.columns, "churn_proba", "prediction")
+        .withColumn("prediction", (F.col("churn_proba") > 0.5).cast("int"))
+        .drop("_margin")
     )
 
 
-def predict_churn(model: PipelineModel, features: DataFrame) -> DataFrame:
+def predict_churn(model: BoostedTrees, features: DataFrame) -> DataFrame:
     """``customer_unique_id``, ``churn_proba``, ``churn_risk_tier`` for every person."""
     scored = score(model, features.select("customer_unique_id", *FEATURE_COLS))
     return scored.select("customer_unique_id", "churn_proba", risk_tier("churn_proba").alias("churn_risk_tier"))
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """Share of the total gain per feature, largest first, with its display name."""
-    shares = model.stages[-1].featureImportances.toArray().tolist()
-    rows = spark.createDataFrame(list(zip(FEATURE_COLS, shares)), "feature string, importance double")
+def feature_importance(spark: SparkSession, model: BoostedTrees) -> DataFrame:
+    """Mean gain of each feature's splits as a share of all, largest first, with its display name."""
+    rows = spark.createDataFrame(list(boosted_trees.importance(model).items()), "feature string, importance double")
     return rows.select("feature", feature_label("feature").alias("label"), "importance").orderBy(
         F.desc("importance"), "feature"
     )

@@ -27,6 +27,27 @@ class NotConverged(RuntimeError):
     pass
 
 
+class Certificate(NamedTuple):
+    """What shows that parameters are an optimum: the objective there, its largest slope, and the least pivot of
+    its Hessian (positive where it bends upwards in every direction), all in the logarithms of the parameters."""
+
+    objective: float
+    gradient_norm: float
+    least_pivot: float
+    n_customers: int
+
+
+def least_pivot(hessian: np.ndarray) -> float:
+    """Least pivot of the elimination without exchanges, from the first parameter on."""
+    rest, least = hessian.astype(float).copy(), math.inf
+    while len(rest):
+        least = min(least, rest[0, 0])
+        if rest[0, 0] == 0:
+            break
+        rest = rest[1:, 1:] - np.outer(rest[1:, 0], rest[0, 1:]) / rest[0, 0]
+    return float(least)
+
+
 Key = str | int | tuple[int, int]
 
 
@@ -51,7 +72,7 @@ def _maximise(
     penalizer: float,
     tolerance: float = 1e-7,
     max_steps: int = 200,
-) -> np.ndarray:
+) -> tuple[np.ndarray, Certificate]:
     """Newton steps on the logarithms of the parameters, damped until the value falls.
 
     Minimises the mean negative log-likelihood plus ``penalizer`` times the sum of the
@@ -91,8 +112,9 @@ def _maximise(
     theta = np.zeros(size)
     value, slope, curvature = evaluate(theta)
     for _ in range(max_steps):
-        if np.max(np.abs(slope)) < tolerance:
-            return np.exp(theta)
+        norm = float(np.max(np.abs(slope)))
+        if norm < tolerance:
+            return np.exp(theta), Certificate(float(value), norm, least_pivot(curvature), int(weight))
         # Flip and floor the eigenvalues: a downhill direction, also far from the optimum.
         lengths, axes = np.linalg.eigh(curvature)
         step = -axes @ ((axes.T @ slope) / np.maximum(np.abs(lengths), 1e-8))
@@ -194,7 +216,12 @@ def merged_histories(features: DataFrame) -> DataFrame:
 
 
 def fit_bgnbd(features: DataFrame, penalizer: float = PENALIZER) -> BGNBDParams:
-    """Fit (r, alpha, a, b) in weeks.
+    """Fit (r, alpha, a, b) in weeks."""
+    return certified_bgnbd(features, penalizer)[0]
+
+
+def certified_bgnbd(features: DataFrame, penalizer: float = PENALIZER) -> tuple[BGNBDParams, Certificate]:
+    """The fit with its certificate.
 
     Time is scaled to a longest age of one while fitting, which is where the penalty
     applies, and ``alpha`` is scaled back.
@@ -206,10 +233,10 @@ def fit_bgnbd(features: DataFrame, penalizer: float = PENALIZER) -> BGNBDParams:
         longest = size["longest"] or 1.0
         scaled = histories.withColumns({"last": F.col("last") / longest, "age": F.col("age") / longest}).persist()
         try:
-            r, alpha, a, b = _maximise(scaled, BGNBD, size["n"], penalizer)
+            (r, alpha, a, b), certificate = _maximise(scaled, BGNBD, size["n"], penalizer)
         finally:
             scaled.unpersist()
-    return BGNBDParams(float(r), float(alpha * longest), float(a), float(b))
+    return BGNBDParams(float(r), float(alpha * longest), float(a), float(b)), certificate
 
 
 def _gamma_gamma_per_row() -> tuple[list[dict[str, Column]], dict[Key, Column]]:
@@ -249,7 +276,12 @@ GAMMA_GAMMA = Model(GammaGammaParams._fields, _gamma_gamma_per_row, _gamma_gamma
 
 
 def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER) -> GammaGammaParams:
-    """Fit (p, q, v) on persons with more than one purchase, on their total spend.
+    """Fit (p, q, v) on persons with more than one purchase, on their total spend."""
+    return certified_gamma_gamma(features, penalizer)[0]
+
+
+def certified_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER) -> tuple[GammaGammaParams, Certificate]:
+    """The fit with its certificate.
 
     The model knows positive spend only; repeat buyers without one are an error in the data.
     """
@@ -268,7 +300,7 @@ def fit_gamma_gamma(features: DataFrame, penalizer: float = PENALIZER) -> GammaG
                 raise ValueError(f"{n_unfit} repeat customers have no positive spend")
             if not weight:
                 raise ValueError("no repeat customers to fit")
-            p, q, v = _maximise(cached, GAMMA_GAMMA, weight, penalizer)
+            (p, q, v), certificate = _maximise(cached, GAMMA_GAMMA, weight, penalizer)
         finally:
             cached.unpersist()
-    return GammaGammaParams(float(p), float(q), float(v))
+    return GammaGammaParams(float(p), float(q), float(v)), certificate

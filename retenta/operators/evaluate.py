@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retenta.functions.scalars import mean
 from retenta.operators.ranking import running_totals
 
 
-def _ranked_scores(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """One row per distinct score with positives and negatives at or above it.
+def _score_counts(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """One row per distinct score with its positives and negatives.
 
     Spark would rank NaN above all numbers, so a NaN score stops the job.
     """
     value = F.col(score).cast("double")
     checked = F.when(F.isnan(value), F.raise_error(F.lit(f"NaN in {score}")).cast("double")).otherwise(value)
-    counts = (
+    return (
         scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(checked.alias("score"))
         .agg(
@@ -26,24 +26,38 @@ def _ranked_scores(scored: DataFrame, score: str, label: str) -> DataFrame:
             F.count(F.when(F.col(label) != 1, 1)).alias("neg"),
         )
     )
-    return running_totals(counts, [], "score", ["pos", "neg"], descending=True)
 
 
-def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve; equal scores count half. Null where a class is missing.
+def _ranked(counts: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Counts with positives and negatives at or above the score, over all, and of the next lower score."""
+    rising = running_totals(counts, keys, score, ["pos", "neg"], ["pos", "neg"])
+    above = {f"{name}_upto": F.col(f"{name}_all") - F.col(f"{name}_upto") + F.col(name) for name in ("pos", "neg")}
+    return rising.withColumns(above)
+
+
+def _ranked_scores(scored: DataFrame, score: str, label: str) -> DataFrame:
+    return _ranked(_score_counts(scored, score, label), [], "score")
+
+
+def roc_auc_of_counts(counts: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """``keys`` and ``roc_auc`` from one row per key and distinct score, with its numbers of ``pos`` and ``neg``.
 
     The area is twice summed in whole numbers, so no rounding depends on the task order.
     """
-    ranked = _ranked_scores(scored, score, label)
     wide = "decimal(38,0)"
     strip = F.col("neg").cast("decimal(18,0)") * (2 * F.col("pos_upto") - F.col("pos")).cast("decimal(19,0)")
-    area = ranked.agg(
+    area = _ranked(counts, keys, score).groupBy(*keys).agg(
         F.sum(strip).cast(wide).alias("twice"),
         F.max("pos_all").alias("pos_all"),
         F.max("neg_all").alias("neg_all"),
     )
     whole = 2.0 * F.col("pos_all").cast("double") * F.col("neg_all").cast("double")
-    return area.select(F.try_divide(F.col("twice").cast("double"), whole).alias("roc_auc"))
+    return area.select(*keys, F.try_divide(F.col("twice").cast("double"), whole).alias("roc_auc"))
+
+
+def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """Area under the ROC curve; equal scores count half. Null where a class is missing."""
+    return roc_auc_of_counts(_score_counts(scored, score, label), [], "score")
 
 
 def average_precision(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -64,21 +78,11 @@ def roc_curve(scored: DataFrame, score: str, label: str, drop_collinear: bool =
     """
     ranked = _ranked_scores(scored, score, label)
     if drop_collinear:
-        step = F.struct("pos", "neg")
-        over_buckets = Window.orderBy(F.desc("bucket"))
-        heads = (
-            ranked.groupBy("bucket")
-            .agg(F.max_by(step, "score").alias("head"))
-            .select("bucket", F.lead("head").over(over_buckets).alias("next_head"))
-        )
-        within = Window.partitionBy("bucket").orderBy(F.desc("score"))
-        ranked = ranked.withColumn("next", F.lead(step).over(within)).join(F.broadcast(heads), "bucket")
-        following = F.coalesce("next", "next_head")
         ranked = ranked.filter(
             (F.col("pos_upto") + F.col("neg_upto") == F.col("pos") + F.col("neg"))
-            | following.isNull()
-            | (following["pos"] != F.col("pos"))
-            | (following["neg"] != F.col("neg"))
+            | F.col("pos_previous").isNull()
+            | (F.col("pos_previous") != F.col("pos"))
+            | (F.col("neg_previous") != F.col("neg"))
         )
     points = ranked.select(
         F.col("score").alias("threshold"),

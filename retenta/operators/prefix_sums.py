@@ -21,12 +21,14 @@ from retenta.session import stage
 ROW, FIRST, LAST = 0, 1, 2
 
 
-def _with_local_sums(rows: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+def _with_local_sums(rows: DataFrame, by: list[str], sums: list[str], previous: list[str]) -> DataFrame:
     """Rows with their task's running sums; the first and last row of a task come once more, marked so."""
     n_columns = len(rows.columns)
     key_at = [rows.columns.index(name) for name in by]
     sum_at = [rows.columns.index(name) for name in sums]
-    names = [*rows.columns, *(f"{name}_upto" for name in sums), "_part", "_kind", "_one_key"]
+    previous_at = [rows.columns.index(name) for name in previous]
+    added = [*(f"{name}_upto" for name in sums), *(f"{name}_previous" for name in previous)]
+    names = [*rows.columns, *added, "_part", "_kind", "_one_key", "_head"]
 
     def differ(a: pa.Array, b: pa.Array) -> np.ndarray:
         unequal = pc.fill_null(pc.not_equal(a, b), False)
@@ -36,10 +38,12 @@ def _with_local_sums(rows: DataFrame, by: list[str], sums: list[str]) -> DataFra
         part, last, one_key = TaskContext.get().partitionId(), None, True
         carried = np.zeros(len(sum_at), np.int64)
 
-        def out(columns: list, kind: int) -> pa.RecordBatch:
+        def out(columns: list, kind: int, head: bool = False) -> pa.RecordBatch:
             n = len(columns[0])
             marks = [pa.array(np.full(n, value, np.int32)) for value in (part, kind)]
-            return pa.RecordBatch.from_arrays([*columns, *marks, pa.array(np.full(n, one_key))], names=names)
+            heads = np.zeros(n, bool)
+            heads[0] = head
+            return pa.RecordBatch.from_arrays([*columns, *marks, pa.array(np.full(n, one_key)), pa.array(heads)], names=names)
 
         for batch in batches:
             n = batch.num_rows
@@ -58,59 +62,83 @@ def _with_local_sums(rows: DataFrame, by: list[str], sums: list[str]) -> DataFra
                 upto = total[1:] - total[np.maximum(start, 0)] + np.where(start < 0, carried[j], 0)
                 carried[j] = upto[-1]
                 columns.append(pa.array(upto.astype(np.int64)))
-            if last is None:
+            for k in previous_at:
+                own = batch.column(k)
+                before = pa.nulls(1, own.type) if last is None else last[k]
+                shifted = pa.concat_arrays([before, own.slice(0, n - 1)])
+                columns.append(pc.if_else(pa.array(new), pa.scalar(None, own.type), shifted))
+            head = last is None
+            if head:
                 yield out([c.slice(0, 1) for c in columns], FIRST)
             last = [c.slice(n - 1, 1) for c in columns]
-            yield out(columns, ROW)
+            yield out(columns, ROW, head)
         if last is not None:
             yield out(last, LAST)
 
     schema = StructType(rows.schema.fields[:])
     for name in sums:
         schema = schema.add(StructField(f"{name}_upto", LongType()))
-    schema = schema.add("_part", IntegerType()).add("_kind", IntegerType()).add("_one_key", BooleanType())
+    for name in previous:
+        schema = schema.add(StructField(f"{name}_previous", rows.schema[name].dataType))
+    for name, kind in (("_part", IntegerType()), ("_kind", IntegerType()), ("_one_key", BooleanType()), ("_head", BooleanType())):
+        schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
 
 
 def running_sums(
-    rows: DataFrame, by: list[str], order: list[str | Column], sums: list[str], partitions: int | None = None
+    rows: DataFrame,
+    by: list[str],
+    order: list[str | Column],
+    sums: list[str],
+    previous: list[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``<name>_upto`` for each integer column in ``sums``: its total over the rows of the same ``by``
-    up to and including the row, in the order given.
+    up to and including the row, in the order given; and ``<name>_previous`` for each column in ``previous``:
+    its value in the row before, null in the first one.
 
-    Rows that tie in the order may come in any order, but all sums go by the same one: it is that
+    Rows that tie in the order may come in any order, but all columns go by the same one: it is that
     of a table written to the shared folder. Null keys are equal. The driver gets two rows per task.
     """
-    spark = rows.sparkSession
+    spark, previous = rows.sparkSession, previous or []
     keys = [F.asc(name) for name in by] + [F.col(c).asc() if isinstance(c, str) else c for c in order]
     dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    written = stage(_with_local_sums(dealt.sortWithinPartitions(*keys), by, sums), "running-sums")
+    written = stage(_with_local_sums(dealt.sortWithinPartitions(*keys), by, sums, previous), "running-sums")
     ends: dict[int, dict] = {}
     for row in written.filter(F.col("_kind") != ROW).collect():
         ends.setdefault(row["_part"], {})[row["_kind"]] = row
-    offsets, key, totals = [], None, [0] * len(sums)
+    carried, key, totals, last = [], None, [0] * len(sums), None
     for part in sorted(ends):
-        first, last = ends[part][FIRST], ends[part][LAST]
+        first = ends[part][FIRST]
         begins = tuple(first[name] for name in by)
-        carry = totals if key == begins else [0] * len(sums)
-        offsets.append((part, *begins, *carry))
+        goes_on = key == begins
+        carry = totals if goes_on else [0] * len(sums)
+        carried.append((part, *begins, *carry, *(last[name] if goes_on else None for name in previous)))
+        last = ends[part][LAST]
         key = tuple(last[name] for name in by)
         own = [last[f"{name}_upto"] for name in sums]
         totals = [a + b for a, b in zip(own, carry)] if last["_one_key"] else own
-    kinds = [StructField(f"_first_{i}", rows.schema[name].dataType) for i, name in enumerate(by)]
-    schema = StructType(
-        [StructField("_part", IntegerType()), *kinds, *(StructField(f"_before_{j}", LongType()) for j in range(len(sums)))]
-    )
-    before = spark.createDataFrame(offsets, schema)
-    goes_on = F.lit(True)
+    schema = StructType([StructField("_part", IntegerType())])
+    for i, name in enumerate(by):
+        schema = schema.add(f"_first_{i}", rows.schema[name].dataType)
+    for j in range(len(sums)):
+        schema = schema.add(f"_before_{j}", LongType())
+    for j, name in enumerate(previous):
+        schema = schema.add(f"_last_{j}", rows.schema[name].dataType)
+    same = F.lit(True)
     for i, name in enumerate(by):
-        goes_on = goes_on & F.col(name).eqNullSafe(F.col(f"_first_{i}"))
+        same = same & F.col(name).eqNullSafe(F.col(f"_first_{i}"))
     # One row per task of the shuffle: the broadcast does not grow with the rows.
-    joined = written.filter(F.col("_kind") == ROW).join(F.broadcast(before), "_part")
+    joined = written.filter(F.col("_kind") == ROW).join(F.broadcast(spark.createDataFrame(carried, schema)), "_part")
+
+    def total(j: int, name: str) -> Column:
+        return F.col(f"{name}_upto") + F.when(same, F.col(f"_before_{j}")).otherwise(F.lit(0).cast("bigint"))
+
+    def before(j: int, name: str) -> Column:
+        return F.when(F.col("_head"), F.col(f"_last_{j}")).otherwise(F.col(f"{name}_previous"))
+
     return joined.select(
         *rows.columns,
-        *[
-            (F.col(f"{name}_upto") + F.when(goes_on, F.col(f"_before_{j}")).otherwise(F.lit(0).cast("bigint"))).alias(f"{name}_upto")
-            for j, name in enumerate(sums)
-        ],
+        *[total(j, name).alias(f"{name}_upto") for j, name in enumerate(sums)],
+        *[before(j, name).alias(f"{name}_previous") for j, name in enumerate(previous)],
     )

@@ -1,78 +1,30 @@
 """Ranks, running totals and percentiles over a global order, without a one-task sort.
 
 A window with no partition, or with one partition per class, puts a whole table into one
-task. Here rows get an order-preserving bucket first; a small table of bucket totals
-gives every bucket its starting offset, and the window runs within one bucket only.
-The number of buckets is a setting, so the table of totals is bounded and broadcast.
+task. Running totals come from rows dealt out by ranges (``prefix_sums``), in as many tasks
+as the session shuffles into.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retenta.functions.scalars import shuffled_key
-from retenta.operators.sharing import computed_once
-
-DEFAULT_BUCKETS = 64
-
-
-def _value_buckets(rows: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
-    """Add ``bucket``: how many of the key's approximate quantiles lie below the value.
-
-    The quantiles only balance the buckets; any error in them leaves results exact.
-    """
-    if buckets < 2:
-        raise ValueError("one bucket would put all rows into one window")
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, probabilities, max(1000, 20 * buckets)).alias("bounds")
-    )
-    with_bounds = rows.join(F.broadcast(bounds), keys) if keys else rows.crossJoin(F.broadcast(bounds))
-    below = F.filter("bounds", lambda bound: bound < F.col(value))
-    return with_bounds.withColumn("bucket", F.coalesce(F.size(below), F.lit(0))).drop("bounds")
+from retenta.operators.prefix_sums import running_sums
 
 
 def running_totals(
-    rows: DataFrame,
-    keys: list[str],
-    value: str,
-    sums: list[str],
-    descending: bool = False,
-    buckets: int = DEFAULT_BUCKETS,
+    rows: DataFrame, keys: list[str], value: str, sums: list[str], previous: list[str] | None = None
 ) -> DataFrame:
-    """Add, for each column in ``sums``, its total up to and including the row
-    (``<name>_upto``) and its total over the key (``<name>_all``), and the ``bucket``.
+    """Add, for each column in ``sums``, its total up to and including the row in the order of ``value``
+    (``<name>_upto``) and its total over the key (``<name>_all``); and ``<name>_previous`` as wanted.
 
-    ``rows`` must hold each (keys, value) once; ``keys`` must be a short list of groups,
-    such as feature names.
+    ``rows`` must hold each (keys, value) once.
     """
-    bucketed = _value_buckets(computed_once(rows), keys, value, buckets)
-
-    def order(name: str) -> Column:
-        return F.desc(name) if descending else F.asc(name)
-
-    over_buckets = Window.partitionBy(*keys).orderBy(order("bucket"))
-    earlier = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
-    everything = over_buckets.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = bucketed.groupBy(*keys, "bucket").agg(*[F.sum(name).alias(f"{name}_in") for name in sums])
-    offsets = offsets.select(
-        *keys,
-        "bucket",
-        *[F.coalesce(F.sum(f"{name}_in").over(earlier), F.lit(0)).alias(f"{name}_before") for name in sums],
-        *[F.sum(f"{name}_in").over(everything).alias(f"{name}_all") for name in sums],
-    )
-    within = (
-        Window.partitionBy(*keys, "bucket")
-        .orderBy(order(value))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return bucketed.join(F.broadcast(offsets), [*keys, "bucket"]).select(
-        *rows.columns,
-        "bucket",
-        *[(F.sum(name).over(within) + F.col(f"{name}_before")).alias(f"{name}_upto") for name in sums],
-        *[f"{name}_all" for name in sums],
-    )
+    summed = running_sums(rows, keys, [value], sums, previous)
+    totals = summed.groupBy(*keys).agg(*[F.sum(name).alias(f"{name}_all") for name in sums])
+    return summed.join(totals, keys) if keys else summed.crossJoin(F.broadcast(totals))
 
 
 def melt(df: DataFrame, columns: list[str], name_col: str = "feature", value_col: str = "value") -> DataFrame:
@@ -88,7 +40,6 @@ def exact_percentiles(
     keys: list[str],
     value: str,
     probabilities: dict[str, float],
-    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Exact percentiles per key, linear between neighbours; nulls and NaN are left out.
 
@@ -100,7 +51,7 @@ def exact_percentiles(
         .groupBy(*keys, value)
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(counted, keys, value, ["n"], buckets=buckets)
+    ranked = running_totals(counted, keys, value, ["n"])
     last = F.col("n_upto") - 1
     first = F.col("n_upto") - F.col("n")
     aggregates = []

@@ -30,5 +30,5 @@ def run_evaluation(
         metrics = evaluate.churn_metrics(scored, "churn_proba", "prediction", "churned")
         artifacts.save_metrics(spark, metrics, "churn_evaluation", runs_dir)
         artifacts.write_roc_curve(evaluate.roc_curve(scored, "churn_proba", "churned"), f"{runs_dir}/roc_curve")
-        feature_attribution(model, path, test).write.mode("overwrite").parquet(f"{runs_dir}/attribution")
+        feature_attribution(model, test).write.mode("overwrite").parquet(f"{runs_dir}/attribution")
     return metrics

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from retenta.config import FEATURE_COLS
 from retenta.operators import attribution, churn_model, evaluate, features
-from retenta.operators.clv_fit import fit_bgnbd, fit_gamma_gamma
+from retenta.operators.clv_fit import Certificate, certified_bgnbd, certified_gamma_gamma, fit_bgnbd, fit_gamma_gamma
 from retenta.plans import evaluation, scoring, training
 from retenta.session import new_shared_path, stage, staged
 from retenta.sources import artifacts
 from retenta.sources.retail import raw_tables
 
 CUTOFF, WINDOW_DAYS = "1999-01-01", 365
+# Where nobody leaves for good, a and b run towards zero and the objective hardly bends along them.
+BGNBD_DIGITS = {"r": 3, "alpha": 2, "a": 2, "b": 2, "objective": 5, "gradient_norm": 4, "least_pivot": 3}
+GAMMA_GAMMA_DIGITS = {"p": 4, "q": 4, "v": 4, "objective": 6, "gradient_norm": 4, "least_pivot": 4}
 
 
 def _rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def _classifier(spark: SparkSession, sf_dir: str):
     """A classifier trained for this query, saved and loaded again, and its folder."""
     path = f"{new_shared_path(spark, 'models')}/{training.CHURN_MODEL}"
     with staged(_matrix(spark, sf_dir), "matrix") as matrix, staged(training.split_matrix(matrix), "split") as split:
-        churn_model.save_churn_model(churn_model.train_churn_model(training.part(split, "train")), path)
+        churn_model.save_churn_model(spark, churn_model.train_churn_model(training.part(split, "train")), path)
     return churn_model.load_churn_model(spark, path), path
 
 
@@ -58,14 +61,20 @@ def _behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _certified(spark: SparkSession, params: tuple, certificate: Certificate, digits: dict[str, int]) -> DataFrame:
+    """Parameters and certificate in one row, to the digits that a second way of finding them gives too."""
+    found = params._asdict() | certificate._asdict()
+    schema = ", ".join(f"{name} {'bigint' if name == 'n_customers' else 'double'}" for name in found)
+    row = spark.createDataFrame([tuple(found.values())], schema)
+    return row.withColumns({name: F.round(name, places) for name, places in digits.items()})
+
+
 def bgnbd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = fit_bgnbd(_rfm(spark, sf_dir))
-    return spark.createDataFrame([params], ", ".join(f"{name} double" for name in params._fields))
+    return _certified(spark, *certified_bgnbd(_rfm(spark, sf_dir)), BGNBD_DIGITS)
 
 
 def gamma_gamma_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = fit_gamma_gamma(_rfm(spark, sf_dir))
-    return spark.createDataFrame([params], ", ".join(f"{name} double" for name in params._fields))
+    return _certified(spark, *certified_gamma_gamma(_rfm(spark, sf_dir)), GAMMA_GAMMA_DIGITS)
 
 
 def clv_params_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +104,11 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation ROC-AUC of a classifier fitted on the training part."""
-    split = stage(training.split_matrix(stage(_matrix(spark, sf_dir), "matrix")), "split")
+    """Validation ROC-AUC after each tree of a classifier fitted on the training part."""
+    with staged(_matrix(spark, sf_dir), "matrix") as matrix:
+        split = stage(training.split_matrix(matrix), "split")
     model = churn_model.train_churn_model(training.part(split, "train"))
-    return evaluate.roc_auc(churn_model.score(model, training.part(split, "val")), "churn_proba", "churned")
+    return churn_model.validation_report(model, training.part(split, "val"))
 
 
 def predict_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +123,8 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributions of every person, with the gap between their sum and the log-odds."""
-    model, path = _classifier(spark, sf_dir)
-    explained = attribution.feature_attribution(model, path, _behavioral(spark, sf_dir))
+    model, _ = _classifier(spark, sf_dir)
+    explained = attribution.feature_attribution(model, _behavioral(spark, sf_dir))
     parts = [F.col(name) for name in explained.columns if name.startswith("phi_")]
     total = reduce(lambda a, b: a + b, parts, F.col("base_value"))
     return explained.withColumn("gap", F.round(F.abs(total - F.col("log_odds")), 9))

@@ -77,7 +77,7 @@ def train(
     scores = {}
     with staged(unsplit, "matrix") as matrix, staged(split_matrix(matrix), "split") as split:
         model = churn_model.train_churn_model(part(split, "train"), n_trees=n_trees)
-        churn_model.save_churn_model(model, f"{models_dir}/{CHURN_MODEL}")
+        churn_model.save_churn_model(spark, model, f"{models_dir}/{CHURN_MODEL}")
         for name in ("val", "test"):
             scored = churn_model.score(model, part(split, name))
             scores[f"{name}_roc_auc"] = evaluate.roc_auc(scored, "churn_proba", "churned").first()["roc_auc"]

@@ -7,7 +7,6 @@ from math import exp, factorial
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from retenta.config import FEATURE_COLS
@@ -36,7 +35,7 @@ def saved(spark, matrix, tmp_path_factory):
     split = training.split_matrix(matrix)
     model = churn_model.train_churn_model(training.part(split, "train"), n_trees=4)
     path = f"{folder}/{training.CHURN_MODEL}"
-    churn_model.save_churn_model(model, path)
+    churn_model.save_churn_model(spark, model, path)
     return folder, path, churn_model.load_churn_model(spark, path)
 
 
@@ -78,28 +77,23 @@ def test_missing_model_is_an_error(spark, tmp_path):
         artifacts.load_clv_params(spark, str(tmp_path))
 
 
-def brute_force_shapley(spark, model, path, x):
+def brute_force_shapley(model, x):
     """All 128 coalitions, each by walking every tree."""
-    last = len(model.stages) - 1
-    folder = f"{path}/stages/{last}_{model.stages[last].uid}"
-    trees = {}
-    for r in spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").collect():
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    weights = model.stages[last].treeWeights
-
-    def walk(nodes, node, known):
-        if node["leftChild"] < 0:
-            return node["prediction"]
-        left, right = nodes[node["leftChild"]], nodes[node["rightChild"]]
-        f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+
+    def walk(tree, place, known):
+        f = model.feature[tree, place]
+        if f < 0:
+            return model.value[tree, place]
+        left, right = 2 * place + 1, 2 * place + 2
         if f in known:
-            return walk(nodes, left if x[f] <= cut else right, known)
-        share = left["impurityStats"][0] / node["impurityStats"][0]
-        return share * walk(nodes, left, known) + (1 - share) * walk(nodes, right, known)
+            goes_left = model.missing_left[tree, place] if np.isnan(x[f]) else x[f] <= model.threshold[tree, place]
+            return walk(tree, left if goes_left else right, known)
+        share = model.cover[tree, left] / model.cover[tree, place]
+        return share * walk(tree, left, known) + (1 - share) * walk(tree, right, known)
 
     @lru_cache(None)
     def value(known):
-        return 2 * sum(w * walk(trees[t], trees[t][0], known) for t, w in enumerate(weights))
+        return sum(walk(tree, 0, known) for tree in range(model.n_trees))
 
     phi = []
     for i in range(7):
@@ -114,21 +108,29 @@ def brute_force_shapley(spark, model, path, x):
     return value(frozenset()), phi
 
 
-def test_attribution_is_exact(spark, matrix, saved):
-    _, path, model = saved
-    rows = attribution.feature_attribution(model, path, matrix).collect()
+def test_attribution_is_exact(matrix, saved):
+    model = saved[2]
+    rows = attribution.feature_attribution(model, matrix).collect()
     assert len(rows) == 600
     proba = {r["customer_unique_id"]: r["churn_proba"] for r in churn_model.predict_churn(model, matrix).collect()}
     for r in rows:
         total = r["base_value"] + sum(r[f"phi_{c}"] for c in FEATURE_COLS)
         assert total == pytest.approx(r["log_odds"], abs=1e-9)
         assert 1 / (1 + exp(-total)) == pytest.approx(proba[r["customer_unique_id"]], abs=1e-9)
-    scaled = model.transform(churn_model.with_double_features(matrix)).select("customer_unique_id", vector_to_array("features"))
-    vectors = {r[0]: r[1] for r in scaled.collect()}
-    for r in rows[:6]:
-        base, phi = brute_force_shapley(spark, model, path, vectors[r["customer_unique_id"]])
-        assert r["base_value"] == pytest.approx(base, abs=1e-9)
-        assert [r[f"phi_{c}"] for c in FEATURE_COLS] == pytest.approx(phi, abs=1e-9)
+    vectors = {r[0]: np.array([np.nan if v is None else v for v in r[1:8]]) for r in matrix.collect()}
+    explained = {r["customer_unique_id"]: r for r in rows}
+    for who in [f"u{i}" for i in range(6)]:  # the first lacks a review score
+        base, phi = brute_force_shapley(model, vectors[who])
+        assert explained[who]["base_value"] == pytest.approx(base, abs=1e-9)
+        assert [explained[who][f"phi_{c}"] for c in FEATURE_COLS] == pytest.approx(phi, abs=1e-9)
+
+
+def test_validation_report_has_every_tree(matrix, saved):
+    model, val = saved[2], training.part(training.split_matrix(matrix), "val")
+    report = churn_model.validation_report(model, val).collect()
+    assert [r["tree"] for r in report] == [0, 1, 2, 3]
+    scored = churn_model.score(model, val)
+    assert report[-1]["roc_auc"] == pytest.approx(evaluate.roc_auc(scored, "churn_proba", "churned").first()[0], abs=1e-12)
 
 
 def test_training_labels_need_parameters_first(spark, edge_tables, tmp_path):

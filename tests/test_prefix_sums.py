@@ -27,19 +27,29 @@ def test_sums_of_skewed_keys(spark, partitions, descending):
     rows = [(rng.choice(keys), at, rng.randrange(9), -at) for at in range(400)]
     df = spark.createDataFrame(rows, "key string, at bigint, n bigint, m bigint").repartition(5)
     order = [F.desc("at") if descending else "at"]
-    found = running_sums(df, ["key"], order, ["n", "m"], partitions).collect()
+    found = running_sums(df, ["key"], order, ["n", "m"], partitions=partitions).collect()
     assert sorted((tuple(r) for r in found), key=str) == expected(rows, descending)
 
 
 def test_without_keys_and_with_several(spark):
     rows = [(i % 2, str(i % 3), i, 1) for i in range(100)]
     df = spark.createDataFrame(rows, "a int, b string, at bigint, n bigint")
-    found = {r["at"]: r["n_upto"] for r in running_sums(df, [], ["at"], ["n"], 7).collect()}
+    found = {r["at"]: r["n_upto"] for r in running_sums(df, [], ["at"], ["n"], partitions=7).collect()}
     assert found == {i: i + 1 for i in range(100)}
-    found = {r["at"]: r["n_upto"] for r in running_sums(df, ["a", "b"], ["at"], ["n"], 9).collect()}
+    found = {r["at"]: r["n_upto"] for r in running_sums(df, ["a", "b"], ["at"], ["n"], partitions=9).collect()}
     assert found == {i: i // 6 + 1 for i in range(100)}
 
 
+@pytest.mark.parametrize("partitions", [1, 50])
+def test_previous_row_over_tasks(spark, partitions):
+    rows = [("a" if i < 90 else "b", i, str(i) if i % 7 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, at bigint, name string").repartition(6)
+    found = running_sums(df, ["key"], ["at"], [], ["at", "name"], partitions).collect()
+    got = {r["at"]: (r["at_previous"], r["name_previous"]) for r in found}
+    want = {i: (None, None) if i in (0, 90) else (i - 1, rows[i - 1][2]) for i in range(100)}
+    assert got == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "key string, at bigint, n bigint")
     found = running_sums(df, ["key"], ["at"], ["n"])

@@ -23,26 +23,29 @@ def clean(rows, key):
     return np.array([v for k, v in rows if k == key and v is not None and not math.isnan(v)])
 
 
-@pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("buckets", [2, 4, 64])
-def test_running_totals(skewed, descending, buckets):
+@pytest.mark.parametrize("tasks", [1, 4, 64])
+def test_running_totals(spark, skewed, tasks):
     df, rows = skewed
     counts = df.filter("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count("*").alias("n"))
-    got = running_totals(counts, ["k"], "v", ["n"], descending, buckets).collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    got = running_totals(counts, ["k"], "v", ["n"], ["v"]).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     for key in "ab":
         values = clean(rows, key)
-        mine = [r for r in got if r["k"] == key]
-        assert len(mine) == len(set(values))
-        for r in mine:
-            upto = (values >= r["v"]).sum() if descending else (values <= r["v"]).sum()
-            assert r["n_upto"] == upto and r["n_all"] == len(values)
+        mine = sorted((r["v"], r["n_upto"], r["n_all"], r["v_previous"]) for r in got if r["k"] == key)
+        distinct = sorted(set(values))
+        assert mine == [(v, (values <= v).sum(), len(values), w) for v, w in zip(distinct, [None, *distinct])]
 
 
-def test_buckets_are_balanced(skewed):
-    df, _ = skewed
-    counts = df.filter("k = 'a' and v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    sizes = [r["count"] for r in running_totals(counts, [], "v", ["n"], buckets=16).groupBy("bucket").count().collect()]
-    assert len(sizes) >= 12 and max(sizes) < 4 * 901 / 16
+def test_tasks_follow_the_session(spark, skewed):
+    counts = skewed[0].filter("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count("*").alias("n"))
+    for setting, value in (("spark.sql.shuffle.partitions", "13"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(setting, value)
+    files = running_totals(counts, ["k"], "v", ["n"]).inputFiles()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(set(files)) == 13
 
 
 @pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.777, 1.0])
@@ -101,9 +104,3 @@ def test_sample_is_repeatable(spark):
     assert once == {r[0] for r in seeded_sample(df.repartition(9), "who", 50, 1).collect()}
     assert len(once) == 50 and once != {r[0] for r in seeded_sample(df, "who", 50, 2).collect()}
     assert seeded_sample(df, "who", 5000, 1).count() == 1000
-
-
-def test_one_bucket_is_refused(skewed):
-    counts = skewed[0].filter("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count("*").alias("n"))
-    with pytest.raises(ValueError, match="one bucket"):
-        running_totals(counts, ["k"], "v", ["n"], buckets=1)
