@@ -27,14 +27,6 @@ def running_totals(
     return summed.join(totals, keys) if keys else summed.crossJoin(F.broadcast(totals))
 
 
-def melt(df: DataFrame, columns: list[str], name_col: str = "feature", value_col: str = "value") -> DataFrame:
-    """One row per row and column: the column's name and its value as double."""
-    pairs = [
-        F.struct(F.lit(name).alias(name_col), F.col(name).cast("double").alias(value_col)) for name in columns
-    ]
-    return df.select(F.inline(F.array(*pairs)))
-
-
 def exact_percentiles(
     rows: DataFrame,
     keys: list[str],

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from retenta.sources.csv_records import read_multiline_csv
 from retenta.sources.schemas import RAW_SCHEMAS
 
 log = logging.getLogger(__name__)
 
-# Free text can hold line breaks, so only reviews give up splitting one file over tasks.
+# Free text can hold line breaks, so records of reviews are told from lines by their quotes.
 MULTILINE_TABLES = {"order_reviews"}
 ORDER_GRAIN_TABLES = ("orders", "order_items", "order_payments", "order_reviews")
 
@@ -66,7 +67,8 @@ def create_warehouse(
                 F.lit(None).cast("bigint").alias("row_count"),
             )
         else:
-            frame = read_csv(spark, path, RAW_SCHEMAS[key], multiline=key in MULTILINE_TABLES)
+            read = read_multiline_csv if key in MULTILINE_TABLES else read_csv
+            frame = read(spark, path, RAW_SCHEMAS[key])
             writer = frame.write.mode("overwrite").format("parquet")
             if order_buckets and key in ORDER_GRAIN_TABLES:
                 writer = writer.bucketBy(order_buckets, "order_id").sortBy("order_id")
