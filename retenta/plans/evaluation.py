@@ -29,6 +29,7 @@ def run_evaluation(
     ):
         metrics = evaluate.churn_metrics(scored, "churn_proba", "prediction", "churned")
         artifacts.save_metrics(spark, metrics, "churn_evaluation", runs_dir)
-        artifacts.write_roc_curve(evaluate.roc_curve(scored, "churn_proba", "churned"), f"{runs_dir}/roc_curve")
+        curve = evaluate.roc_curve(scored, "churn_proba", "churned")
+        artifacts.write_roc_curve(curve, metrics["roc_auc"], f"{runs_dir}/roc_curve")
         feature_attribution(model, test).write.mode("overwrite").parquet(f"{runs_dir}/attribution")
     return metrics

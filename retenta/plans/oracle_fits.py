@@ -101,7 +101,10 @@ GAMMA_GAMMA_LIKELIHOOD = """
 
 def statements() -> dict[str, str]:
     longest = "(SELECT MAX(age) FROM inputs ) * "
+    bgnbd = optimum(BGNBD_ROWS, ("r", "alpha", "a", "b"), BGNBD_LIKELIHOOD, {"alpha": longest}, BGNBD_DIGITS)
+    gamma_gamma = optimum(GAMMA_GAMMA_ROWS, ("p", "q", "v"), GAMMA_GAMMA_LIKELIHOOD, {}, GAMMA_GAMMA_DIGITS)
     return {
-        "bgnbd_fit": optimum(BGNBD_ROWS, ("r", "alpha", "a", "b"), BGNBD_LIKELIHOOD, {"alpha": longest}, BGNBD_DIGITS),
-        "gamma_gamma_fit": optimum(GAMMA_GAMMA_ROWS, ("p", "q", "v"), GAMMA_GAMMA_LIKELIHOOD, {}, GAMMA_GAMMA_DIGITS),
+        "bgnbd_fit": bgnbd,
+        "gamma_gamma_fit": gamma_gamma,
+        "clv_params_roundtrip": f"SELECT r, alpha, a, b, p, q, v FROM ({bgnbd}) AS one, ({gamma_gamma}) AS two",
     }

@@ -87,7 +87,8 @@ def clv_params_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     if (bgnbd, gamma_gamma) != fitted:
         raise AssertionError(f"saved {fitted}, loaded {(bgnbd, gamma_gamma)}")
     values = bgnbd._asdict() | gamma_gamma._asdict()
-    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{name} double" for name in values))
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{name} double" for name in values))
+    return row.select(*[F.round(name, (BGNBD_DIGITS | GAMMA_GAMMA_DIGITS)[name]).alias(name) for name in values])
 
 
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:

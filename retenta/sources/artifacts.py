@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from retenta.functions.clv import BGNBDParams, GammaGammaParams
 from retenta.sources.schemas import PREDICTION_SCHEMA
@@ -37,6 +38,7 @@ def _write_json_row(spark: SparkSession, payload: dict[str, Any], path: str, mod
 
 def save_metrics(spark: SparkSession, metrics: dict[str, Any], run_name: str, runs_dir: str) -> str:
     """One JSON row under ``<runs_dir>/<run_name>_<UTC time>.json``; returns that path."""
+    # The stamp's format, the file's name and the order of its keys.
     timestamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
     path = f"{runs_dir}/{run_name}_{timestamp}.json"
     _write_json_row(spark, {"run_name": run_name, "timestamp": timestamp, **metrics}, path, "overwrite")
@@ -70,8 +72,9 @@ def load_clv_params(spark: SparkSession, models_dir: str) -> tuple[BGNBDParams,
     )
 
 
-def write_roc_curve(curve: DataFrame, path: str) -> None:
-    curve.write.mode("overwrite").parquet(path)
+def write_roc_curve(curve: DataFrame, auc: float | None, path: str) -> None:
+    """The points of a curve, each with the area under all of it."""
+    curve.withColumn("auc", F.lit(auc).cast("double")).write.mode("overwrite").parquet(path)
 
 
 def read_roc_curve(spark: SparkSession, path: str) -> DataFrame:

@@ -154,6 +154,7 @@ def test_scoring_and_evaluation_jobs(spark, edge_tables, matrix, saved, tmp_path
     assert spark.read.parquet(f"{tmp_path}/runs/attribution").count() == n_test
     curve = artifacts.read_roc_curve(spark, f"{tmp_path}/runs/roc_curve")
     assert curve.agg(F.max("tpr")).first()[0] == 1.0
+    assert {r["auc"] for r in curve.select("auc").collect()} == {metrics["roc_auc"]}
 
 
 class TestMetricsFile:
