@@ -15,7 +15,7 @@ from retenta.operators import churn_model, clv_predict, evaluate, features, mart
 from retenta.operators.ranking import seeded_sample, stratified_split
 from retenta.plans import models
 from retenta.plans import registered_models as fitted
-from retenta.session import new_shared_path
+from retenta.session import new_shared_path, stage
 from retenta.sources import artifacts, warehouse
 from retenta.sources.retail import raw_tables
 
@@ -231,7 +231,8 @@ def merge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = stratified_split(_churn_dataset(spark, sf_dir), "customer_unique_id", "churned", TRAIN_RATIO, VAL_RATIO, RANDOM_SEED)
+    dataset = stage(_churn_dataset(spark, sf_dir).select("customer_unique_id", "churned"), "dataset")
+    split = stratified_split(dataset, "customer_unique_id", "churned", TRAIN_RATIO, VAL_RATIO, RANDOM_SEED)
     return split.groupBy("churned", "split").agg(F.count("*").alias("n"))
 
 
@@ -296,7 +297,7 @@ def queries() -> dict[str, Query]:
         # churn model
         "feature_matrix": _matrix,
         "stratified_split": lambda s, d: stratified_split(
-            _churn_dataset(s, d).select("customer_unique_id", "churned"),
+            stage(_churn_dataset(s, d).select("customer_unique_id", "churned"), "dataset"),
             "customer_unique_id", "churned", TRAIN_RATIO, VAL_RATIO, RANDOM_SEED,
         ),
         "split_sizes": split_sizes,

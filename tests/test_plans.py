@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from retenta.operators import features
+from pyspark.sql.classic.dataframe import DataFrame
+
+from retenta.operators import features, prefix_sums, profile
 from retenta.plans import catalog
 from retenta.sources.retail import raw_tables
 
@@ -52,12 +54,29 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in orders_scan and "LessThan(o_orderdate" in orders_scan
 
 
-def test_describe_computes_its_input_once(spark):
-    plan = executed(catalog.queries()["describe_features"](spark, SF))
-    assert scans(plan, "part") == 1
+def test_summaries_shuffle_no_values(spark, monkeypatch):
+    """Quartiles and moments come from one written table of columns, by aggregates over whole rows."""
+    plans = []
+    collect, first = DataFrame.toArrow, DataFrame.first
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: plans.append(executed(df)) or collect(df))
+    monkeypatch.setattr(DataFrame, "first", lambda df: plans.append(executed(df)) or first(df))
+    df = spark.range(1000).selectExpr("id % 7 AS a", "id * 0.5 AS b")
+    profile.describe(df, ["a", "b"]).collect()
+    profile.correlations(df, ["a", "b"]).collect()
+    assert len(plans) == 6 and not any("Generate" in plan or "Sort " in plan for plan in plans)
+
+
+@pytest.mark.parametrize("name", ["roc_auc", "roc_curve", "average_precision"])
+def test_curves_compute_their_input_once(spark, name, monkeypatch):
+    plans = []
+    write = prefix_sums.stage
+    monkeypatch.setattr(prefix_sums, "stage", lambda df, label: plans.append(executed(df)) or write(df, label))
+    rest = executed(catalog.queries()[name](spark, SF))
+    assert [scans(plan, "orders") for plan in plans] == [1] and scans(rest, "orders") == 0
+    assert "rangepartitioning(score" in plans[0] and "Window" not in plans[0] + rest
 
 
-@pytest.mark.parametrize("name", ["roc_auc", "roc_curve", "average_precision", "kpi_cards", "mart_clv_features", "churn_label_window"])
+@pytest.mark.parametrize("name", ["kpi_cards", "mart_clv_features", "churn_label_window"])
 def test_reports_compute_their_input_once(spark, name):
     plan = executed(catalog.queries()[name](spark, SF))
     # The marts read payments, reviews and shipping dates from the same source table.

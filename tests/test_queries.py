@@ -9,7 +9,7 @@ from tests.compare import connect, differences
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 WITHOUT_SQL = {
-    "bgnbd_fit", "gamma_gamma_fit", "clv_params_roundtrip", "train_churn", "predict_churn", "feature_importance",
+    "train_churn", "predict_churn", "feature_importance",
     "feature_attribution", "batch_predictions", "train_models", "churn_metrics",
 }
 

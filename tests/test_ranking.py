@@ -98,6 +98,20 @@ def test_split_is_exact_repeatable_and_whole(spark):
     assert sorted(first.collect()) != sorted(other.collect())
 
 
+def test_split_of_odd_classes_needs_no_window(spark):
+    rows = [(i, None) for i in range(10)] + [(100 + i, "one") for i in range(1)] + [(200 + i, "three") for i in range(3)]
+    df = spark.createDataFrame(rows, "who bigint, y string").union(spark.range(40).selectExpr("999L", "'same id'"))
+    split = stratified_split(df, "who", "y", 0.7, 0.15, 42, hex_digits=5)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+    counts = {(r["y"], r["split"]): r["count"] for r in split.groupBy("y", "split").count().collect()}
+    assert counts == {
+        (None, "train"): 7, (None, "val"): 2, (None, "test"): 1, ("one", "train"): 1,
+        ("three", "train"): 2, ("three", "val"): 1, ("same id", "train"): 40,
+    }
+    assert stratified_split(df.limit(0), "who", "y", 0.7, 0.15, 42).collect() == []
+
+
 def test_sample_is_repeatable(spark):
     df = spark.range(1000).withColumnRenamed("id", "who")
     once = {r[0] for r in seeded_sample(df, "who", 50, 1).collect()}
