@@ -1,8 +1,9 @@
 """Gradient-boosted trees for a binary label: one pass over binned rows per level of a tree.
 
 Features become bytes once: the bin of a value between quantiles of its feature, or a code for a
-missing one. The bytes are written in blocks of many rows. To grow a level, tasks add up gradient
-and Hessian per (node, feature, bin) of the nodes in question; sums are whole numbers, so they are
+missing one. The bytes are written in blocks of many rows, feature by feature. To grow a level, tasks
+find the node of each row by look-ups in a table per level and add up gradient and Hessian per
+(node, feature, bin), of the rows in the nodes in question only; sums are whole numbers, so they are
 the same in any order and on any layout. The driver holds bins x nodes and picks the splits. Of two
 children only the smaller one is summed, the other is what is left of their parent. Each tree sees
 a share of the rows, by a hash of their id, and one subset of the features.
@@ -13,6 +14,7 @@ A split sends values up to its threshold to the left, and missing values where t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,11 @@ BINS = 255
 MISSING = 255
 #: Sums are whole numbers of this part of one.
 UNIT = 1 << 24
-#: Rows of one block, and blocks of one task.
+#: Rows of one block at most; with fewer rows than would fill a block per core, blocks get smaller, down to this.
 BLOCK_ROWS = 200_000
+SMALL_BLOCK_ROWS = 10_000
+#: Rows that a task takes at a time, so that what it makes of them stays in the processor's cache.
+CHUNK_ROWS = 16_000
 #: Margins are written anew after so many trees.
 MARGIN_TREES = 20
 #: From so many tasks on, their sums are added up by Spark and not by the driver.
@@ -90,6 +95,35 @@ def walk_function():
     return walk
 
 
+def descent_function():
+    """As ``walk_function`` for rows of bins: tables of the levels once per job, one look-up per row and level."""
+
+    def tables(feature, cut, missing_left, depth):
+        codes, levels = np.arange(256), []
+        for level in range(depth):
+            first, last = 2**level - 1, 2 ** (level + 1) - 1
+            place = np.arange(first, last)[:, None]
+            left = np.where(codes == 255, missing_left[first:last, None], codes <= cut[first:last, None])
+            # A row that ends at a leaf goes down on the left, to a place that no node has.
+            child = np.where(feature[first:last, None] < 0, 2 * place + 1, 2 * place + 2 - left)
+            levels.append((feature[first:last].clip(0), (child - last).astype(np.int32).ravel()))
+        return levels
+
+    def descend(codes, levels):
+        """Place of each row within the last level, counted from its first place."""
+        flat, n = codes.ravel(), codes.shape[1]
+        rows, place = np.arange(n), np.zeros(n, np.int32)
+        for feature, child in levels:
+            at = (feature * n).take(place)
+            at += rows
+            cell = place << 8
+            cell |= flat.take(at)
+            place = child.take(cell)
+        return place
+
+    return tables, descend
+
+
 def margin_function(model: BoostedTrees, cumulative: bool = False):
     """From a matrix of feature values to margins (log-odds); with ``cumulative`` those after each tree."""
     walk, arrays = walk_function(), (model.feature, model.threshold, model.missing_left, model.value)
@@ -118,14 +152,14 @@ def _value(name: str) -> Column:
 
 
 def binned_blocks(rows: DataFrame, features: list[str], label: str, cuts: list[np.ndarray], row_key: Column) -> DataFrame:
-    """Blocks of rows as bytes: n, bins (row by row), labels, keys, margins."""
+    """Blocks of rows as bytes: n, bins (feature by feature), labels, keys, margins."""
     plain = [c.copy() for c in cuts]
     block_rows = BLOCK_ROWS
 
     def block(x: np.ndarray, label: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        codes = np.empty(x.shape, np.uint8)
+        codes = np.empty(x.shape[::-1], np.uint8)
         for j, own in enumerate(plain):
-            codes[:, j] = np.where(np.isnan(x[:, j]), 255, np.searchsorted(own, x[:, j]))
+            codes[j] = np.where(np.isnan(x[:, j]), 255, np.searchsorted(own, x[:, j]))
         parts = [codes.tobytes(), label.astype(np.int8).tobytes(), key.astype(np.int64).tobytes(), np.zeros(len(x)).tobytes()]
         columns = [pa.array([len(x)], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)]
         return pa.RecordBatch.from_arrays(columns, names=["n", "bins", "labels", "keys", "margins"])
@@ -147,15 +181,18 @@ def binned_blocks(rows: DataFrame, features: list[str], label: str, cuts: list[n
     return picked.mapInArrow(pack, BLOCK_SCHEMA)
 
 
-def arrays_function(n_features: int):
-    """A function from a block to its arrays: bins, labels, keys, margins."""
+def chunks_function(n_features: int, size: int = CHUNK_ROWS):
+    """A function from a block to the arrays of a few rows at a time: bins as (feature, row), labels, keys, margins."""
 
-    def arrays(row):
+    def chunks(row):
         n, bins, labels, keys, margins = row
-        codes = np.frombuffer(bins, np.uint8).reshape(n, n_features)
-        return codes, np.frombuffer(labels, np.int8), np.frombuffer(keys, np.int64), np.frombuffer(margins, np.float64)
+        codes = np.frombuffer(bins, np.uint8).reshape(n_features, n)
+        rest = np.frombuffer(labels, np.int8), np.frombuffer(keys, np.int64), np.frombuffer(margins, np.float64)
+        for first in range(0, n, size):
+            own = slice(first, first + size)
+            yield np.ascontiguousarray(codes[:, own]), *(values[own] for values in rest)
 
-    return arrays
+    return chunks
 
 
 def gradient_function(positive_weight: float, seed: int, row_share: float, unit: int = UNIT):
@@ -185,7 +222,7 @@ class _Grower:
 
     def __init__(self, spark: SparkSession, path: str, n_features: int, settings: Settings, positive_weight: float):
         self.spark, self.settings, self.since = spark, settings, 0
-        self.arrays = arrays_function(n_features)
+        self.chunks = chunks_function(n_features)
         self.gradients = gradient_function(positive_weight, settings.seed, settings.row_share)
         self.stale: list = []
         self._read(path)
@@ -193,7 +230,7 @@ class _Grower:
     def _read(self, path: str) -> None:
         self.path = path
         frame = self.spark.read.schema(BLOCK_SCHEMA).parquet(path)
-        self.blocks = frame.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+        self.blocks = frame.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK_DESER)
         self.n_tasks = self.blocks.getNumPartitions()
 
     def close(self) -> None:
@@ -203,22 +240,24 @@ class _Grower:
 
     def sums(self, tree: int, grown: tuple, level: int, nodes: list[int], subset: list[int]) -> np.ndarray:
         """Gradient and Hessian sums as (node, feature, bin, 2)."""
-        arrays, gradients, walk = self.arrays, self.gradients, walk_function()
-        slot_of = np.full(len(grown[0]), -1)
-        slot_of[nodes] = np.arange(len(nodes))
-        cells = len(nodes) * len(subset) * 256
+        chunks, gradients, (tables, descend) = self.chunks, self.gradients, descent_function()
+        levels = tables(*grown[:3], level)
+        slot_of = np.full(2**level, -1)
+        slot_of[np.array(nodes) - (2**level - 1)] = np.arange(len(nodes))
+        cells = len(nodes) * 256
 
         def add_up(rows):
-            total = np.zeros((cells, 2), np.int64)
-            for row in rows:
-                codes, labels, keys, margins = arrays(row)
-                g, h, chosen = gradients(margins, labels, keys, tree)
-                slot = slot_of[walk(codes, codes == 255, *grown[:3], level)]
-                own = np.flatnonzero(chosen & (slot >= 0))
+            total = np.zeros((len(subset), cells, 2), np.int64)
+            for codes, labels, keys, margins in chain.from_iterable(map(chunks, rows)):
+                slot = slot_of.take(descend(codes, levels))
+                own = np.flatnonzero(slot >= 0)
+                g, h, chosen = gradients(margins[own], labels[own], keys[own], tree)
+                own, g, h = own[chosen], g[chosen], h[chosen]
+                first = slot[own] << 8
                 for j, column in enumerate(subset):
-                    cell = (slot[own] * len(subset) + j) * 256 + codes[own, column]
-                    for k, weight in enumerate((g[own], h[own])):
-                        total[:, k] += np.bincount(cell, weight, cells).astype(np.int64)
+                    cell = first + codes[column].take(own)
+                    for k, weight in enumerate((g, h)):
+                        total[j, :, k] += np.bincount(cell, weight, cells).astype(np.int64)
             yield total
 
         found = self.blocks.mapPartitions(add_up)
@@ -226,24 +265,29 @@ class _Grower:
         for blocks in self.stale:  # those that are read now have been kept
             blocks.unpersist()
         self.stale.clear()
-        return total.reshape(len(nodes), len(subset), 256, 2)
+        return total.reshape(len(subset), len(nodes), 256, 2).swapaxes(0, 1)
 
     def add(self, tree: tuple) -> None:
         """Take a grown tree into the margins."""
-        arrays, walk, depth = self.arrays, walk_function(), self.settings.depth
+        chunks, (tables, descend), depth = self.chunks, descent_function(), self.settings.depth
         feature, cut, missing_left, value = tree
+        levels = tables(feature, cut, missing_left, depth)
+        reached = value.copy()
+        for place in range(2**depth - 1):  # what a leaf further up gives is found at the end of its left side
+            if feature[place] < 0:
+                reached[2 * place + 1] = reached[place]
+        reached = reached[2**depth - 1 :]
 
         def renewed(row):
-            codes, _, _, margins = arrays(row)
-            own = margins + value[walk(codes, codes == 255, feature, cut, missing_left, depth)]
-            return *row[:4], own.tobytes()
+            own = [margins + reached.take(descend(codes, levels)) for codes, _, _, margins in chunks(row)]
+            return *row[:4], b"".join(part.tobytes() for part in own)
 
         before, path = self.blocks, self.path
         self.stale.append(before)
         self.blocks = before.map(renewed)
         self.since += 1
         if self.since < MARGIN_TREES:
-            self.blocks = self.blocks.persist(StorageLevel.MEMORY_AND_DISK)
+            self.blocks = self.blocks.persist(StorageLevel.MEMORY_AND_DISK_DESER)
             return
         written = new_shared_path(self.spark, "margins")
         self.spark.createDataFrame(self.blocks, BLOCK_SCHEMA).write.parquet(written)
@@ -324,7 +368,8 @@ def fit(
     cuts = cut_points(rows, features)
     n_rows = rows.count()
     path = new_shared_path(spark, "blocks")
-    sized = rows.repartition(max(1, -(-n_rows // BLOCK_ROWS)), id_col)
+    n_blocks = max(-(-n_rows // BLOCK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n_rows // SMALL_BLOCK_ROWS)), 1)
+    sized = rows.repartition(n_blocks, id_col)
     binned_blocks(sized, features, label, cuts, key).write.parquet(path)
     grower = _Grower(spark, path, len(features), settings, positive_weight)
     n_subset = max(1, int(settings.feature_share * len(features)))

@@ -121,3 +121,27 @@ def test_features_without_values_and_importance(spark, data):
     assert sum(shares.values()) == pytest.approx(1.0) and shares["f4"] == shares["f2"] == 0.0
     inner = model.feature == 0
     assert shares["f0"] / shares["f3"] == pytest.approx(model.gain[inner].mean() / model.gain[model.feature == 3].mean())
+
+
+def test_rows_of_bins_descend_as_they_walk():
+    rng = np.random.default_rng(3)
+    depth, codes = 4, rng.integers(0, 256, (5, 3000)).astype(np.uint8)
+    feature, cut, missing_left = rng.integers(-1, 5, 31), rng.integers(0, 255, 31), rng.random(31) < 0.5
+    feature[0], feature[15:] = 2, -1
+    for place in range(1, 15):  # nothing is below a leaf
+        if feature[(place - 1) // 2] < 0:
+            feature[place] = -1
+    tables, descend = B.descent_function()
+    place = B.walk_function()(codes.T, codes.T == 255, feature, cut, missing_left, depth)
+    while (place < 15).any():  # a leaf further up stands at the end of its left side
+        place = np.where(place < 15, 2 * place + 1, place)
+    assert np.array_equal(descend(codes, tables(feature, cut, missing_left, depth)) + 15, place)
+
+
+def test_rows_below_one_block_are_spread_over_tasks(spark, data, monkeypatch):
+    tasks = []
+    read = B._Grower._read
+    monkeypatch.setattr(B, "SMALL_BLOCK_ROWS", 200)
+    monkeypatch.setattr(B._Grower, "_read", lambda self, path: (read(self, path), tasks.append(self.n_tasks)))
+    B.fit(data[0], NAMES, "y", "who", 1.0, B.Settings(n_trees=1, depth=1))
+    assert tasks == [4]
