@@ -29,6 +29,8 @@ SCHEMA = (
 )
 #: Ids in one block; at 2048 to a window some 3,000 windows are filled together.
 BLOCK_IDS = 6_000_000
+#: Pieces handed on at once; with their ids they are 4 MB at most.
+OUT_ROWS = 500
 
 
 class OpenWindows:
@@ -82,6 +84,14 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return window, offset
 
 
+def placed(ids: np.ndarray, source: np.ndarray, target: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """``n`` ids with each piece at its target, copied piece by piece: indexes of single ids would be several times the block."""
+    out = np.zeros(n, "<i4")
+    for a, b, k in zip(source.tolist(), target.tolist(), length.tolist()):
+        out[b : b + k] = ids[a : a + k]
+    return out
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -122,22 +132,19 @@ def pack(
             length = np.minimum(counts[doc] - start, size)
             window, offset = best_fit_decreasing(length, size)
             n = int(window.max()) + 1
-            packed = np.zeros(n * size, "<i4")
-            source = (np.cumsum(counts) - counts)[doc] + start
-            within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-            target = np.repeat(window * size + offset, length) + within
-            packed[target] = ids[np.repeat(source, length) + within]
-            del source, within, target, ids
-            raw, low = memoryview(packed.tobytes()), 4 * (window * size + offset)
+            source, target = (np.cumsum(counts) - counts)[doc] + start, window * size + offset
+            packed = placed(ids, source, target, length, n * size)
+            del ids
+            raw, low = memoryview(packed).cast("B"), 4 * target
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(low.tolist(), (low + 4 * length).tolist())]
             columns = [doc_ids.take(pa.array(doc)), *map(pa.array, (start, length))]
             columns += [pa.array(crc, pa.int64()), *map(pa.array, (counts[doc], next_id + window, offset))]
             next_id += n
-            for a in range(0, len(doc), 2000):
-                rows = [column.slice(a, 2000) for column in columns]
+            for a in range(0, len(doc), OUT_ROWS):
+                rows = [column.slice(a, OUT_ROWS) for column in columns]
                 if with_ids:
-                    own = [packed[w : w + k] for w, k in zip(low[a : a + 2000] // 4, length[a : a + 2000])]
-                    ends = np.concatenate([[0], np.cumsum(length[a : a + 2000])])
+                    own = [packed[w : w + k] for w, k in zip(target[a : a + OUT_ROWS], length[a : a + OUT_ROWS])]
+                    ends = np.concatenate([[0], np.cumsum(length[a : a + OUT_ROWS])])
                     rows.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own))))
                 yield pa.RecordBatch.from_arrays(rows, names=names)
 
