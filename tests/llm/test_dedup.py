@@ -221,6 +221,50 @@ def test_prefixes_find_every_similar_pair(spark, seed):
     assert len(want) > 30 and want <= found and len(found) < len(pairs) / 4
 
 
+def test_sketches_leave_out_pairs_that_have_too_much_apart(spark, monkeypatch):
+    """Texts with three changes each to one base share nearly all they have, yet no two are similar."""
+    rng = random.Random(17)
+    base, rows = cases.words(rng, 150), []
+    for n in range(70):
+        text = list(base)
+        for at in rng.sample(range(5, 145, 5), 3):
+            text[at] = "".join(cases.words(rng, 3))
+        rows.append((n, " ".join(text), "en", "s", 0))
+    sets = [shingle_set(r[1]) for r in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(70), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 0 < len(links) < 100
+    seen = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, texts: (seen.append(pairs.count()), verified(pairs, texts))[1])
+    # One band of one row, so that nearly all of them meet.
+    _, _, comps = neardup.link(cases.frame(spark, rows), bands=8, band_rows=1)
+    assert comps.groupBy("comp").count().agg(F.max("count")).first()[0] == max(map(len, brute_groups(rows)))
+    assert sum(seen) < 10 * len(rows) < 70 * 69 // 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sketches_lose_no_similar_pair(spark, seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(10):
+        base = cases.words(rng, rng.choice([3, 30, 90, 3000]))
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = cases.words(rng, 1)[0]
+            texts.append(" ".join(own))
+    sets = [shingle_set(t) for t in texts]
+    want = {(j, i) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    # Components of several texts each, too: no pair within one is asked for.
+    rows = [(i.to_bytes(16), (i if seed == 1 else i // 2).to_bytes(16), t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "node binary, comp binary, text string").repartition(3)
+    keyed = neardup._mixed(neardup._prefixes(frame))
+    found = {tuple(sorted((int.from_bytes(p.a), int.from_bytes(p.b)))) for p in neardup._across(keyed, neardup._sketches(frame)).collect()}
+    across = {p for p in want if seed == 1 or p[0] // 2 != p[1] // 2}
+    assert len(across) > 30 and across <= found
+    assert found <= {tuple(sorted((int.from_bytes(p.a), int.from_bytes(p.b)))) for p in neardup._across(keyed).collect()}
+
+
 def test_near_copies_with_a_repeated_passage_are_candidates(spark):
     rng = random.Random(41)
     rows = []
