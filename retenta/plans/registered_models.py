@@ -46,14 +46,20 @@ def _train(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
     return models_dir, scores
 
 
-def _classifier(spark: SparkSession, sf_dir: str):
-    """A classifier trained for this query, saved and loaded again, and its folder."""
+def _trained(spark: SparkSession, matrix: DataFrame):
+    """A classifier trained on a written matrix, saved and loaded again, and its folder."""
     path = f"{new_shared_path(spark, 'models')}/{training.CHURN_MODEL}"
-    with staged(_matrix(spark, sf_dir), "matrix") as matrix, staged(training.split_matrix(matrix), "split") as split:
+    with staged(training.split_matrix(matrix), "split") as split:
         churn_model.save_churn_model(spark, churn_model.train_churn_model(training.part(split, "train")), path)
     return churn_model.load_churn_model(spark, path), path
 
 
+def _classifier(spark: SparkSession, sf_dir: str):
+    """A classifier trained for this query, saved and loaded again, and its folder."""
+    with staged(_matrix(spark, sf_dir), "matrix") as matrix:
+        return _trained(spark, matrix)
+
+
 def _behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_tables(spark, sf_dir)
     return features.behavioral_features(
@@ -144,6 +150,8 @@ def train_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def churn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs_dir = new_shared_path(spark, "runs")
-    _, path = _classifier(spark, sf_dir)
-    evaluation.run_evaluation(spark, _matrix(spark, sf_dir), path.rpartition("/")[0], runs_dir)
+    # One matrix serves the training and the evaluation.
+    with staged(_matrix(spark, sf_dir), "matrix") as matrix:
+        _, path = _trained(spark, matrix)
+        evaluation.run_evaluation(spark, matrix, path.rpartition("/")[0], runs_dir)
     return artifacts.load_metrics(spark, runs_dir).drop("timestamp")

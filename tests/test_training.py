@@ -1,12 +1,14 @@
 """The whole training job on transactions drawn from the purchase model."""
 
 import datetime as dt
+from functools import partial
 
 import numpy as np
 import pytest
 
+from retenta.config import FEATURE_COLS
 from retenta.operators import churn_model
-from retenta.plans import scoring, training
+from retenta.plans import registered_models, scoring, training
 from retenta.sources import artifacts
 from retenta.sources.retail import RawTables
 from retenta.sources.schemas import RAW_SCHEMAS
@@ -53,3 +55,19 @@ def test_training_then_scoring(spark, shop, tmp_path):
     assert len({r["customer_unique_id"] for r in predictions}) == len(predictions) == 500
     assert all(0 <= r["churn_proba"] <= 1 and r["predicted_clv"] >= 0 for r in predictions)
     assert {r["churn_risk_tier"] for r in predictions} <= {"Low", "Medium", "High"}
+
+
+def test_metrics_are_made_from_one_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    made = []
+
+    def matrix(spark, sf_dir):
+        made.append(sf_dir)
+        rows = [(n, *rng.random(len(FEATURE_COLS)).tolist(), n % 3 // 2) for n in range(300)]
+        return spark.createDataFrame(rows, ", ".join(["customer_unique_id bigint", *(f"{c} double" for c in FEATURE_COLS), "churned int"]))
+
+    monkeypatch.setattr(registered_models, "_matrix", matrix)
+    monkeypatch.setattr(churn_model, "train_churn_model", partial(churn_model.train_churn_model, n_trees=2))
+    found = registered_models.churn_metrics(spark, "here").collect()
+    assert len(found) == 1 and 0 <= found[0]["roc_auc"] <= 1
+    assert made == ["here"]
