@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from retenta.config import DELIVERED, RISK_TIERS
 
 MONEY_UNITS = 10_000
+#: Sums of wide numbers are made of parts below this, so that a long holds the sum of billions of them.
+PART = 10**9
 
 
 def money(name: str) -> Column:
@@ -26,6 +28,36 @@ def money(name: str) -> Column:
     return F.floor(checked * F.lit(float(MONEY_UNITS)) + 0.5).cast("decimal(18,0)")
 
 
+def _whole(value: Column, divisor) -> Column:
+    """Integral quotient towards zero, to which ``%`` gives the remainder."""
+    return F.call_function("div", value, F.lit(divisor))
+
+
+def money_sum(name: str) -> Column:
+    """``sum(money(name))`` exactly, made of sums of two longs: decimals as wide as their sum cost much more to add."""
+    units = money(name).cast("bigint")
+    high, low = F.sum(_whole(units, PART)), F.sum(units % F.lit(PART))
+    return (high * F.lit(Decimal(PART)) + low).cast("decimal(28,0)")
+
+
+def unit_parts(units: str) -> dict[str, Column]:
+    """A decimal(38,0) as three longs by name, the lower two below 1e9; see :func:`from_unit_parts`.
+
+    Sums of the parts are exact and need no wide decimals. What fits a long is split as a long.
+    """
+    total, top = F.col(units), PART * PART
+    short = total.try_cast("bigint")
+    rest = F.when(short.isNotNull(), short % F.lit(top)).otherwise((total % F.lit(Decimal(top))).cast("bigint"))
+    highest = F.when(short.isNotNull(), _whole(short, top)).otherwise(_whole(total, Decimal(top)))
+    return {f"{units}_0": rest % F.lit(PART), f"{units}_1": _whole(rest, PART), f"{units}_2": highest}
+
+
+def from_unit_parts(units: str) -> Column:
+    """The number whose parts, or sums of parts, these are."""
+    low, middle, top = (F.col(f"{units}_{k}") for k in range(3))
+    return (top * F.lit(Decimal(PART * PART)) + middle * F.lit(Decimal(PART)) + low).cast("decimal(38,0)")
+
+
 def amount(units: str) -> Column:
     """Back from units of :func:`money` to an amount in double."""
     return (F.col(units) * F.lit(Decimal(1) / MONEY_UNITS)).cast("double")

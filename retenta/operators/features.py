@@ -12,11 +12,13 @@ from retenta.functions.clv import BGNBDParams, p_alive
 from retenta.functions.scalars import (
     amount,
     days_between,
+    from_unit_parts,
     inactive_flag,
     mean,
     mean_amount,
     money,
     repeat_count,
+    unit_parts,
     weeks,
 )
 from retenta.operators.orders import FANOUT_SUMS, delivered_orders, order_basket_rows, purchase_day
@@ -99,25 +101,47 @@ def _behavior_columns() -> list:
     ]
 
 
-def _person_totals(rows: DataFrame, customers: DataFrame, extra_max: tuple[str, ...] = ()) -> DataFrame:
+#: Measures of a basket row, and those of a person's totals that are wide decimals.
+MEASURES = ("purchase_date", "used_installments", *FANOUT_SUMS)
+AMOUNTS = ("payment_total", "freight_total")
+TOTALS = ("first_purchase_date", "last_purchase_date", "n_distinct_categories", "used_installments", *FANOUT_SUMS)
+#: Before the names of totals over the rows before the cutoff, where a frame has totals over all rows too.
+OBSERVED = "observed_"
+
+
+def _person_totals(
+    rows: DataFrame, customers: DataFrame, extra_max: tuple[str, ...] = (), prefixes: tuple[str, ...] = ("",)
+) -> DataFrame:
     """Sum basket rows up to persons, keeping (person, category) groups on the way.
 
     Grouping by category first spreads a busy customer over several tasks, and turns the
-    distinct count into a plain count, with no expansion of the rows.
+    distinct count into a plain count, with no expansion of the rows. There is one set of
+    totals per prefix, over the rows where the measures with that prefix are not null.
     """
-    merge = [F.sum(name).alias(name) for name in FANOUT_SUMS]
-    merge += [F.max(name).alias(name) for name in ("used_installments", "last_purchase_date", *extra_max)]
-    merge += [F.min("first_purchase_date").alias("first_purchase_date")]
-    return (
-        rows.withColumns({"first_purchase_date": F.col("purchase_date"), "last_purchase_date": F.col("purchase_date")})
+    sums, most, least, counts = [], list(extra_max), [], []
+    for p in prefixes:
+        sums += [f"{p}{name}" for name in FANOUT_SUMS if name not in AMOUNTS]
+        sums += [part for name in AMOUNTS for part in unit_parts(f"{p}{name}")]
+        most += [f"{p}used_installments", f"{p}last_purchase_date"]
+        least += [f"{p}first_purchase_date"]
+        counted = F.when(F.col(f"{p}last_purchase_date").isNotNull(), F.col("category")) if p else F.col("category")
+        counts.append(F.count(counted).alias(f"{p}n_distinct_categories"))
+    merge = [how(name).alias(name) for how, names in ((F.sum, sums), (F.max, most), (F.min, least)) for name in names]
+    dates = {f"{p}{end}_purchase_date": F.col(f"{p}purchase_date") for p in prefixes for end in ("first", "last")}
+    parts = {name: part for p in prefixes for units in AMOUNTS for name, part in unit_parts(f"{p}{units}").items()}
+    totals = (
+        rows.withColumns(dates | parts)
         .groupBy("customer_id", "category")
         .agg(*merge)
         .join(customers.select("customer_id", "customer_unique_id"), "customer_id")
         .groupBy("customer_unique_id", "category")
         .agg(*merge)
         .groupBy("customer_unique_id")
-        .agg(*merge, F.count("category").alias("n_distinct_categories"))
+        .agg(*merge, *counts)
     )
+    whole = {f"{p}{units}": from_unit_parts(f"{p}{units}") for p in prefixes for units in AMOUNTS}
+    names = [f"{p}{name}" for p in prefixes for name in TOTALS]
+    return totals.withColumns(whole).select("customer_unique_id", *extra_max, *names)
 
 
 def behavioral_features(
@@ -136,9 +160,13 @@ def behavioral_features(
     rows = order_basket_rows(
         delivered_orders(orders), payments, items, reviews, products, keep_without_items=True
     )
+    return _behavior(_person_totals(rows, customers))
+
+
+def _behavior(per_person: DataFrame) -> DataFrame:
     first, last = F.col("first_purchase_date"), F.col("last_purchase_date")
     snapshot = F.col("snapshot_date")
-    return with_snapshot(_person_totals(rows, customers)).select(
+    return with_snapshot(per_person).select(
         "customer_unique_id",
         "snapshot_date",
         days_between(last, snapshot).alias("recency_days"),
@@ -178,16 +206,18 @@ def churn_dataset(
         delivered_orders(orders, before=end), payments, items, reviews, products, keep_without_items=False
     )
     observed = F.col("purchase_date") < F.lit(cutoff)
-    measures = ("category", "purchase_date", "used_installments", *FANOUT_SUMS)
     rows = rows.select(
         "customer_id",
         F.when(~observed, 1).alias("active_after"),
-        *[F.when(observed, F.col(name)).alias(name) for name in measures],
+        *[F.when(observed, F.col(name)).alias(name) for name in ("category", *MEASURES)],
     )
+    return _labelled(_person_totals(rows, customers, extra_max=("active_after",)), cutoff)
+
+
+def _labelled(per_person: DataFrame, cutoff: date) -> DataFrame:
     at = F.lit(cutoff)
     return (
-        _person_totals(rows, customers, extra_max=("active_after",))
-        .filter(F.col("n_orders") > 0)
+        per_person.filter(F.col("n_orders") > 0)
         .select(
             "customer_unique_id",
             at.alias("cutoff_date"),
@@ -203,6 +233,46 @@ def churn_dataset(
     )
 
 
+def history_totals(
+    orders: DataFrame,
+    customers: DataFrame,
+    payments: DataFrame,
+    items: DataFrame,
+    reviews: DataFrame,
+    products: DataFrame,
+    cutoff_date: str = CHURN_CUTOFF_DATE,
+    churn_window_days: int = CHURN_WINDOW_DAYS,
+) -> DataFrame:
+    """One pass for both feature sets: totals per person over all history, and over what the churn dataset observes.
+
+    Write them and give them to :func:`behavior_of_totals` and :func:`churn_dataset_of_totals`.
+    """
+    cutoff, end = _window_end(cutoff_date, churn_window_days)
+    rows = order_basket_rows(
+        delivered_orders(orders), payments, items, reviews, products, keep_without_items=True, sold_before=end
+    )
+    early = F.col("purchase_date") < F.lit(cutoff)
+    rows = rows.select(
+        "customer_id",
+        "category",
+        F.when(F.col("sold") & ~early, 1).alias("active_after"),
+        *MEASURES,
+        *[F.when(F.col("sold") & early, F.col(name)).alias(OBSERVED + name) for name in MEASURES],
+    )
+    return _person_totals(rows, customers, extra_max=("active_after",), prefixes=("", OBSERVED))
+
+
+def behavior_of_totals(totals: DataFrame) -> DataFrame:
+    """:func:`behavioral_features` from :func:`history_totals`."""
+    return _behavior(totals.select("customer_unique_id", *TOTALS))
+
+
+def churn_dataset_of_totals(totals: DataFrame, cutoff_date: str = CHURN_CUTOFF_DATE) -> DataFrame:
+    """:func:`churn_dataset` from :func:`history_totals` of the same cutoff and window."""
+    observed = [F.col(OBSERVED + name).alias(name) for name in TOTALS]
+    return _labelled(totals.select("customer_unique_id", "active_after", *observed), date.fromisoformat(cutoff_date))
+
+
 def active_after_cutoff(
     orders: DataFrame,
     customers: DataFrame,

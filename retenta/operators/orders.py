@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retenta.functions.scalars import amount, days_between, is_delivered, mean, mean_amount, money
+from retenta.functions.scalars import amount, days_between, is_delivered, mean, mean_amount, money, money_sum
 
 
 def purchase_day() -> Column:
@@ -162,6 +162,7 @@ def order_basket_rows(
     reviews: DataFrame,
     products: DataFrame,
     keep_without_items: bool,
+    sold_before: date | None = None,
 ) -> DataFrame:
     """One row per order and product category, carrying the sums of the full join.
 
@@ -171,11 +172,14 @@ def order_basket_rows(
     hold what summing them would give. The category stays a row key, which lets distinct
     categories be counted later by grouping. An order in several categories counts once
     in ``n_orders``, on the first of its rows.
+
+    ``sold_before`` adds the flag ``sold``: bought before that day, with items. An order's
+    rows with the flag come first, so ``n_orders`` counts it among them and among all rows.
     """
     per_order_payments = payments.groupBy("order_id").agg(
         F.count("*").alias("k_payments"),
         F.count("payment_value").alias("k_values"),
-        F.sum(money("payment_value")).alias("values_sum"),
+        money_sum("payment_value").alias("values_sum"),
         F.max(F.when(F.col("payment_installments") > 1, 1).otherwise(0)).alias("used_installments"),
     )
     per_order_reviews = reviews.groupBy("order_id").agg(
@@ -191,7 +195,7 @@ def order_basket_rows(
         .agg(
             F.count("*").alias("k_items"),
             F.count("freight_value").alias("k_freights"),
-            F.sum(money("freight_value")).alias("freights_sum"),
+            money_sum("freight_value").alias("freights_sum"),
         )
     )
     joined = (
@@ -201,7 +205,12 @@ def order_basket_rows(
         .join(baskets, "order_id", "left" if keep_without_items else "inner")
     )
     # The joins leave the rows partitioned by order. A repeated order row counts no order again.
-    of_order = Window.partitionBy("order_id", "customer_id").orderBy("category")
+    first, flags = [F.col("category")], []
+    if sold_before is not None:
+        sold = F.coalesce(F.col("purchase_date") < F.lit(sold_before), F.lit(False)) & F.col("k_items").isNotNull()
+        joined = joined.withColumn("sold", sold)
+        first, flags = [F.desc("sold"), *first], ["sold"]
+    of_order = Window.partitionBy("order_id", "customer_id").orderBy(*first)
     joined = joined.withColumn("row_in_order", F.row_number().over(of_order))
     k_payments = F.col("k_payments")
     k_items = F.coalesce("k_items", F.lit(1).cast("bigint"))
@@ -212,6 +221,7 @@ def order_basket_rows(
         "category",
         "purchase_date",
         "used_installments",
+        *flags,
         F.when(F.col("row_in_order") == 1, 1).otherwise(0).cast("bigint").alias("n_orders"),
         (F.col("values_sum") * (k_items * k_reviews)).alias("payment_total"),
         (F.col("k_values") * k_items * k_reviews).alias("n_payments"),

@@ -67,6 +67,21 @@ def _behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _classifier_and_behavior(spark: SparkSession, sf_dir: str):
+    """A classifier as by :func:`_classifier`, and the behaviour features of every person.
+
+    The totals behind both are made in one pass over the raw tables and written: one row per person.
+    """
+    r = raw_tables(spark, sf_dir)
+    totals = features.history_totals(
+        r.orders, r.customers, r.order_payments, r.order_items, r.order_reviews, r.products, CUTOFF, WINDOW_DAYS
+    )
+    totals = stage(totals, "totals")
+    with staged(training.matrix_columns(features.churn_dataset_of_totals(totals, CUTOFF)), "matrix") as matrix:
+        model, _ = _trained(spark, matrix)
+    return model, features.behavior_of_totals(totals)
+
+
 def _certified(spark: SparkSession, params: tuple, certificate: Certificate, digits: dict[str, int]) -> DataFrame:
     """Parameters and certificate in one row, to the digits that a second way of finding them gives too."""
     found = params._asdict() | certificate._asdict()
@@ -130,8 +145,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributions of every person, with the gap between their sum and the log-odds."""
-    model, _ = _classifier(spark, sf_dir)
-    explained = attribution.feature_attribution(model, _behavioral(spark, sf_dir))
+    explained = attribution.feature_attribution(*_classifier_and_behavior(spark, sf_dir))
     parts = [F.col(name) for name in explained.columns if name.startswith("phi_")]
     total = reduce(lambda a, b: a + b, parts, F.col("base_value"))
     return explained.withColumn("gap", F.round(F.abs(total - F.col("log_odds")), 9))

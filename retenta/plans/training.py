@@ -39,6 +39,10 @@ def window_matrix(tables: RawTables, cutoff_date: str, churn_window_days: int) -
         cutoff_date,
         churn_window_days,
     )
+    return matrix_columns(dataset)
+
+
+def matrix_columns(dataset: DataFrame) -> DataFrame:
     return dataset.select("customer_unique_id", *FEATURE_COLS, "churned")
 
 

@@ -11,6 +11,7 @@ from retenta.config import FEATURE_COLS
 from retenta.functions.clv import BGNBDParams
 from retenta.operators import features, marts, orders
 from retenta.operators.staging import stg_customers, stg_order_payments, stg_order_reviews, stg_orders
+from retenta.session import stage
 from retenta.sources.schemas import RAW_SCHEMAS
 
 
@@ -225,3 +226,28 @@ def test_repeated_order_rows_count_no_order_again(edge_tables):
         return {r.customer_unique_id: r.frequency for r in made.collect()}
 
     assert frequency(t.orders.union(t.orders)) == frequency(t.orders)
+
+
+def test_one_pass_gives_both_feature_sets(spark, edge_tables):
+    """Also with order rows repeated on days before the cutoff and after the window, and without a day."""
+    t = edge_tables
+    orders, early = t.orders, t.orders.filter("order_purchase_timestamp < TIMESTAMP_NTZ'2018-01-20 00:00:00'")
+    bought = "order_purchase_timestamp"
+    for moved in (f"{bought} - INTERVAL 40 DAYS", f"{bought} + INTERVAL 40 DAYS", "CAST(NULL AS TIMESTAMP_NTZ)"):
+        orders = orders.unionByName(early.withColumn(bought, F.expr(moved)))
+    rest = raw(t)[1:]
+    window = ("2018-01-20", 10)
+    totals = stage(features.history_totals(orders, *rest, *window), "totals")
+    for alone, shared in (
+        (features.behavioral_features(orders, *rest), features.behavior_of_totals(totals)),
+        (features.churn_dataset(orders, *rest, *window), features.churn_dataset_of_totals(totals, window[0])),
+    ):
+        assert alone.dtypes == shared.dtypes
+        assert sorted(map(str, alone.collect())) == sorted(map(str, shared.collect())) != []
+
+
+def test_person_totals_add_no_wide_decimals(edge_tables):
+    """Their sums are of longs: adding decimals(38,0) was half of the time behind the basket rows."""
+    plan = features.behavioral_features(*raw(edge_tables))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(n_payments#" in plan
+    assert not any(f"sum({name}#" in plan for name in ("payment_total", "freight_total"))

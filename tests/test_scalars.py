@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,21 @@ def test_amounts_that_are_no_number_stop_the_job(spark, bad):
     frame = spark.createDataFrame([(1.0,), (bad,), (2.0,)], "spend double")
     with pytest.raises(Exception, match="spend is not a finite amount"):
         frame.agg(F.sum(scalars.money("spend"))).collect()
+
+
+def test_sums_of_unit_parts_are_exact(spark):
+    values = [0, -1, 10**9, 10**9 - 1, -(10**18), 2**63 - 1, -(2**63), 2**63, 3 * 10**36 + 7, -(10**35) - 123456789012, None]
+    frame = spark.createDataFrame([(i % 3, v if v is None else Decimal(v)) for i, v in enumerate(values * 3)], "g int, u decimal(38,0)")
+    parts = frame.withColumns(scalars.unit_parts("u"))
+    names = list(scalars.unit_parts("u"))
+    assert [r[0] for r in parts.select(scalars.from_unit_parts("u")).collect()] == [r.u for r in frame.collect()]
+    summed = parts.groupBy("g").agg(*[F.sum(n).alias(n) for n in names]).select("g", scalars.from_unit_parts("u").alias("s"))
+    assert sorted(summed.collect()) == sorted(frame.groupBy("g").agg(F.sum("u")).collect())
+    assert dict(parts.dtypes)["u_2"] == "bigint" and summed.schema["s"].dataType.simpleString() == "decimal(38,0)"
+
+
+def test_money_sum_is_the_sum_of_money(spark):
+    frame = spark.createDataFrame([(i % 4, None if i % 4 == 3 else (-1) ** i * 9.9e13 + i * 0.37) for i in range(200)], "g int, v double")
+    found = frame.groupBy("g").agg(scalars.money_sum("v").alias("s"), F.sum(scalars.money("v")).alias("t"))
+    assert found.schema["s"].dataType == found.schema["t"].dataType
+    assert all(r.s == r.t for r in found.collect()) and found.filter("s IS NULL").count() == 1

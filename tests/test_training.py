@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from retenta.config import FEATURE_COLS
-from retenta.operators import churn_model
+from retenta.operators import attribution, churn_model, features
 from retenta.plans import registered_models, scoring, training
 from retenta.sources import artifacts
 from retenta.sources.retail import RawTables
@@ -71,3 +71,24 @@ def test_metrics_are_made_from_one_matrix(spark, monkeypatch):
     found = registered_models.churn_metrics(spark, "here").collect()
     assert len(found) == 1 and 0 <= found[0]["roc_auc"] <= 1
     assert made == ["here"]
+
+
+@pytest.mark.parametrize("name", ["feature_attribution"])
+def test_training_and_scoring_share_one_pass_over_the_orders(spark, shop, monkeypatch, name):
+    made, rows = [], features.order_basket_rows
+    monkeypatch.setattr(churn_model, "train_churn_model", partial(churn_model.train_churn_model, n_trees=2))
+    monkeypatch.setattr(registered_models, "raw_tables", lambda spark, sf_dir: shop)
+    monkeypatch.setattr(registered_models, "CUTOFF", "2017-10-01")
+    monkeypatch.setattr(registered_models, "WINDOW_DAYS", 120)
+    monkeypatch.setattr(features, "order_basket_rows", lambda *args, **kw: made.append(1) or rows(*args, **kw))
+    found = getattr(registered_models, name)(spark, "here").collect()
+    assert made == [1]
+
+    model, _ = registered_models._classifier(spark, "here")
+    behavior = features.behavioral_features(
+        shop.orders, shop.customers, shop.order_payments, shop.order_items, shop.order_reviews, shop.products
+    )
+    operator = churn_model.predict_churn if name == "predict_churn" else attribution.feature_attribution
+    expected = {r["customer_unique_id"]: tuple(r) for r in operator(model, behavior).collect()}
+    width = len(next(iter(expected.values())))
+    assert {r["customer_unique_id"]: tuple(r)[:width] for r in found} == expected and len(expected) == 500
