@@ -60,13 +60,6 @@ def _classifier(spark: SparkSession, sf_dir: str):
         return _trained(spark, matrix)
 
 
-def _behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = raw_tables(spark, sf_dir)
-    return features.behavioral_features(
-        r.orders, r.customers, r.order_payments, r.order_items, r.order_reviews, r.products
-    )
-
-
 def _classifier_and_behavior(spark: SparkSession, sf_dir: str):
     """A classifier as by :func:`_classifier`, and the behaviour features of every person.
 
@@ -135,8 +128,7 @@ def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predict_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every customer with behaviour features."""
-    model, _ = _classifier(spark, sf_dir)
-    return churn_model.predict_churn(model, _behavioral(spark, sf_dir))
+    return churn_model.predict_churn(*_classifier_and_behavior(spark, sf_dir))
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_metrics_are_made_from_one_matrix(spark, monkeypatch):
     assert made == ["here"]
 
 
-@pytest.mark.parametrize("name", ["feature_attribution"])
+@pytest.mark.parametrize("name", ["predict_churn", "feature_attribution"])
 def test_training_and_scoring_share_one_pass_over_the_orders(spark, shop, monkeypatch, name):
     made, rows = [], features.order_basket_rows
     monkeypatch.setattr(churn_model, "train_churn_model", partial(churn_model.train_churn_model, n_trees=2))
